@@ -5,10 +5,29 @@ from __future__ import annotations
 import importlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import documents
 from .mixing import mixed
 from .sharding import sharded
+from .token_counts import token_counts
+from .token_store import read_sums, write_store
+
+
+def vocabulary(name: str) -> str:
+    """A public tokenizer's file, where the machine has it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), limit=4096)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"), "fit_chars")
+
+
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_sums(spark, write_store(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end_id=2))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +42,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op5_sharding, op6_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_store, op5_sharding, op6_mixing)}
 
 MIX_SQL = r"""
 with d as (
