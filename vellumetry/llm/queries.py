@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
+from .licenses import license_scan
 from .mixing import mixed
+from .quality_rules import quality_rules
 from .sharding import sharded
+from .simhash import near_duplicates
 from .token_counts import token_counts
 from .token_store import read_sums, write_store
 
@@ -38,11 +41,24 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir)).drop("longest_repeat")
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_store, op5_sharding, op6_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_store, op5_sharding, op6_mixing, op8_simhash, op9_quality_rules, op10_license_scan)}
 
 MIX_SQL = r"""
 with d as (
@@ -70,4 +86,25 @@ g as (select n, cast(sum(size) as bigint) as taken from c where fits group by n)
 select doc_id, size, source_size, target, coalesce(taken, 0) as taken from q left join g using (n)
 """
 
-ORACLE_SQL = {"op6_mixing": MIX_SQL}
+RULES_SQL = r"""
+with d as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w
+  from documents),
+p as (select r, w, unnest(range(1, len(w) + 1)) as i from d),
+g as (select r, i, array_to_string(w[i:i + 4], ' ') as s from p where i + 4 <= len(w)),
+t as (select r, i from (select r, i, count(*) over (partition by r, s) as n from g) where n > 1),
+c as (select r, cast(count(distinct i + k) as bigint) as n from t cross join (select unnest([0, 1, 2, 3, 4]) as k) group by r),
+l as (select r, text, unnest(string_split(text, chr(10))) as line from d),
+m as (select r, cast(count(*) - count(distinct line) as bigint) as n from l where regexp_matches(line, '[^\x20\x09-\x0D]') group by r),
+h as (select distinct r from (select r, count(*) over (partition by r, array_to_string(w[i:i + 50], ' ')) as n from p where i + 50 <= len(w)) where n > 1),
+o as (select d.doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
+             cast(len(regexp_extract_all(text, '[#*$%&|<>]')) as bigint) as n_symbols, coalesce(m.n, 0) as n_dup_lines,
+             coalesce(c.n, 0) as n_repeat_words, h.r is not null as long
+      from d left join c using (r) left join m using (r) left join h using (r))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+       not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and not long as kept
+from o
+"""
+
+ORACLE_SQL = {"op6_mixing": MIX_SQL, "op9_quality_rules": RULES_SQL}
