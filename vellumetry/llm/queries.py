@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
+from .decontamination import leaks
 from .licenses import license_scan
 from .mixing import mixed
 from .quality_rules import quality_rules
@@ -33,6 +34,10 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_sums(spark, write_store(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end_id=2))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("key")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(documents(spark, sf_dir), 40)
 
@@ -58,7 +63,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_store, op5_sharding, op6_mixing, op8_simhash, op9_quality_rules, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_store, op4_decontamination, op5_sharding, op6_mixing, op8_simhash, op9_quality_rules, op10_license_scan)}
 
 MIX_SQL = r"""
 with d as (
@@ -107,4 +112,27 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from o
 """
 
-ORACLE_SQL = {"op6_mixing": MIX_SQL, "op9_quality_rules": RULES_SQL}
+LEAKS_SQL = r"""
+with d as (
+  select distinct doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') as w from documents),
+k as (select row_number() over () as r, doc_id, len(w) as n, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) as hs from d),
+b as (select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') as w from benchmark),
+pl as (select item_id, len(w) as m, unnest(range(0, len(w) - 4)) as q, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as h from b where len(w) >= 5),
+wt as (select h, count(distinct item_id) as in_items, greatest(1, 4 - floor(log2(count(distinct item_id)))) as w from pl group by h),
+an as (select * from (
+    select item_id, q, h, m, coalesce(sum(w) over (partition by item_id order by in_items, q rows between unbounded preceding and 1 preceding), 0) as before,
+           sum(w) over (partition by item_id) as whole from pl join wt using (h)) where before <= whole * (1 - 0.8)),
+sh as (select item_id, h, count(*) as n, first(w) as w from pl join wt using (h) group by item_id, h),
+it as (select item_id, sum(n * w) as whole from sh group by item_id),
+dp as (select r, n, unnest(range(0, n - 4)) as p, unnest(hs) as h from k where n >= 5),
+wi as (select distinct r, item_id, greatest(0, least(p - q, n - m)) as start, least(m, n) - 4 as l from dp join an using (h)),
+ins as (select r, item_id, start, unnest(hs[start + 1:start + l]) as h from wi join k using (r)),
+ct as (select r, item_id, start, h, count(*) as c from ins group by all),
+sc as (select r, item_id, start, sum(coalesce(wt.w, 4) * least(c, coalesce(sh.n, 0))) as both_, sum(coalesce(wt.w, 4) * c) as own
+       from ct left join wt using (h) left join sh using (item_id, h) group by r, item_id, start),
+si as (select r, item_id, start, both_ / (own + whole - both_) as similarity from sc join it using (item_id) where both_ / (own + whole - both_) >= 0.8)
+select doc_id, item_id, cast(arg_max(start, (similarity, -start)) as bigint) as start, round(max(similarity), 6) as similarity
+from si join k using (r) group by r, doc_id, item_id
+"""
+
+ORACLE_SQL = {"op4_decontamination": LEAKS_SQL, "op6_mixing": MIX_SQL, "op9_quality_rules": RULES_SQL}

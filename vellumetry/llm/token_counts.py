@@ -63,7 +63,7 @@ class PrefixCounter:
         count, last = [0] * (len(s) + 1), [""] * (len(s) + 1)
         pieces, apart = self.pieces, self.apart
         for end in range(1, len(s) + 1):
-            for start in range(max(0, end - self.longest), end):
+            for start in range(end - 1, max(0, end - self.longest) - 1, -1):  # only one fits, and most are short
                 piece = s[start:end]
                 if (cost := pieces.get(piece)) is None:
                     if start < end - 1:
