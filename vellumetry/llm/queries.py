@@ -12,6 +12,7 @@ from .decontamination import leaks
 from .licenses import license_scan
 from .mixing import mixed
 from .quality_rules import quality_rules
+from .repeated_passages import without_repeats
 from .sharding import sharded
 from .simhash import near_duplicates
 from .token_counts import token_counts
@@ -46,6 +47,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(documents(spark, sf_dir))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -63,7 +68,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_store, op4_decontamination, op5_sharding, op6_mixing, op8_simhash, op9_quality_rules, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_store, op4_decontamination, op5_sharding, op6_mixing, op7_repeated_passages, op8_simhash, op9_quality_rules, op10_license_scan)}
 
 MIX_SQL = r"""
 with d as (
