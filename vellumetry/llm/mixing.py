@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import text_of, unused_name, written
 
 COPIES = 3
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -123,3 +123,16 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     copies = sum(took[1:], took[0])
     out = queue.withColumn("copies", copies)
     return out.select("doc_id", "source", *(["text"] if carry else []), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), finish_key(0)["at"].alias("first_at"))
+
+
+def sampled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """df with each record as often as the mix takes it (0 to COPIES times); columns as they were.
+
+    Records that share an id are each taken as often as the most taken of them (ids are distinct in the
+    pipeline). Texts move only where the counts are too many to broadcast.
+    """
+    have, many = unused_name(df, "_have"), unused_name(df, "_copies")
+    taken = mixed(df, id_col, text_col, source_col).groupBy("doc_id").agg(F.max("copies").alias(many)).filter(F.col(many) > 0)
+    taken = written(taken.withColumnRenamed("doc_id", have), "mix-taken")
+    each = df.join(taken, df[id_col].eqNullSafe(taken[have])).withColumn(many, F.explode(F.array_repeat(F.lit(1), F.col(many).cast("int"))))
+    return each.select(*df.columns)

@@ -11,6 +11,7 @@ from .common import documents
 from .decontamination import leaks
 from .licenses import license_scan
 from .mixing import mixed
+from .quality_crf import learn, scores
 from .quality_rules import quality_rules
 from .repeated_passages import without_repeats
 from .sharding import sharded
@@ -35,6 +36,11 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_sums(spark, write_store(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end_id=2))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return scores(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("key")
 
@@ -65,10 +71,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline at the repository's top, which counts as part of this subpackage."""
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_store, op4_decontamination, op5_sharding, op6_mixing, op7_repeated_passages, op8_simhash, op9_quality_rules, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_store, op3_quality, op4_decontamination, op5_sharding, op6_mixing, op7_repeated_passages, op8_simhash, op9_quality_rules, op10_license_scan, pipeline)}
 
 MIX_SQL = r"""
 with d as (
