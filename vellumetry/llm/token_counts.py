@@ -26,8 +26,10 @@ from .common import few_rows, text_of, worker_state
 
 LIMIT = 4096
 #: Units that a worker keeps; the longest unit kept; characters of a text split at a time.
-KEPT, LONGEST, SLAB = 300_000, 64, 1 << 20
+KEPT, LONGEST, SLAB = 1_200_000, 256, 1 << 20
 SPACE, APART = "▁", "\n"
+#: A word and the marks after it.
+TAIL = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
 
 
 class PrefixCounter:
@@ -45,7 +47,10 @@ class PrefixCounter:
         self.pieces = {p: 1 for p in pieces if self.raw(p) == [p]}
         self.longest = max(map(len, pieces))
         self.apart: dict[tuple[str, str], bool] = {}
-        self.units: dict[str, tuple[int, bytes]] = {}
+        #: Neighbours that some piece holds.
+        self.joined = {a + b for p in pieces for a, b in zip(p, p[1:], strict=False)}
+        self.units: dict[str, int] = {}
+        self.tails: dict[str, int] = {}
 
     def raw(self, s: str) -> list[str]:
         """The pieces of s without the space that the encoder puts before a text."""
@@ -80,28 +85,32 @@ class PrefixCounter:
     def slow(self, s: str) -> list[int]:
         return [len(self.raw(s[:k])) for k in range(len(s) + 1)]
 
-    def learn(self, keys: list[str]) -> dict[str, tuple[int, bytes]]:
-        """The units of these keys (a unit without its first space); each whole unit is held against the library."""
-        out = {}
+    def learn(self, keys: list[str]) -> None:
+        """Adds the totals of units (named without their first space); each is held against the library.
+
+        Marks after a letter part from it where no piece has them together; then the unit's total is that of
+        the unit without them, plus theirs.
+        """
         for key, ids in zip(keys, self.lib.encode([APART + " " + k for k in keys], num_threads=1), strict=True):
-            unit = SPACE + key.replace(" ", SPACE)
-            count = self.states(unit)
-            if count[-1] != len(ids) - 2:
-                count = self.slow(unit)
-            out[key] = count[-1], array("b", [b - a for a, b in zip(count, count[1:], strict=False)]).tobytes()
-        return out
-
-    def known(self, keys: list[str]) -> dict[str, tuple[int, bytes]]:
+            if (m := TAIL.fullmatch(key)) and m[1][-1] + m[2][0] not in self.joined:
+                base, tail = m.groups()
+                if (total := self.units.get(base)) is None:
+                    total = self.units[base] = self.states(SPACE + base)[-1]
+                if (more := self.tails.get(tail)) is None:
+                    more = self.tails[tail] = len(self.raw(tail))
+                total += more
+            else:
+                total = self.states(SPACE + key.replace(" ", SPACE))[-1]
+            self.units[key] = total if total == len(ids) - 2 else len(ids) - 2
+
+    def known(self, keys: list[str]) -> dict[str, int]:
         new = {k for k in keys if k not in self.units}
-        if not new:
-            return self.units
-        if len(self.units) + len(new) > KEPT:
-            self.units.clear()
-            new = set(keys)
-        got = self.learn(list(new))
-        if len(new) > KEPT or any(len(k) > LONGEST for k in new):
-            return {**{k: self.units[k] for k in keys if k in self.units}, **got}
-        self.units.update(got)
+        if new:
+            if len(self.units) + len(new) > KEPT:
+                self.units.clear()
+                self.tails.clear()
+                new = set(keys)
+            self.learn(list(new))
         return self.units
 
     def keys(self, text: str) -> Iterator[list[str]]:
@@ -121,13 +130,36 @@ class PrefixCounter:
     def count(self, text: str) -> int:
         n = 0
         for keys in self.keys(text):
-            units = self.known(keys)
-            n += sum([units[k][0] for k in keys])
+            n += sum(map(self.known(keys).__getitem__, keys))
+            if max(map(len, keys)) > LONGEST:
+                for k in keys:
+                    if len(k) > LONGEST:
+                        self.units.pop(k, None)
         return n
 
+    def fit(self, text: str, limit: int) -> int:
+        """Characters of the longest prefix of at most `limit` tokens. Totals only grow from unit to unit, so only the unit that crosses the limit needs its states."""
+        n, at = 0, 0
+        for keys in self.keys(text):
+            units = self.known(keys)
+            for k in keys:
+                if n + units[k] > limit:
+                    counts = self.states(SPACE + k.replace(" ", SPACE))
+                    return max(0, at - 1 + max(i for i, c in enumerate(counts) if n + c <= limit))
+                n += units[k]
+                at += len(k) + 1
+        return len(text)
+
     def deltas(self, text: str) -> bytes:
         """A signed byte for the space before the text, then one a character: how much the count changes."""
-        return b"".join([b"".join([units[k][1] for k in keys]) for keys in self.keys(text) for units in [self.known(keys)]])
+        out, seen = [], {}
+        for keys in self.keys(text):
+            for k in keys:
+                if k not in seen:
+                    count = self.states(SPACE + k.replace(" ", SPACE))
+                    seen[k] = array("b", [b - a for a, b in zip(count, count[1:], strict=False)]).tobytes()
+                out.append(seen[k])
+        return b"".join(out)
 
 
 def prefix_counts(deltas: bytes) -> np.ndarray:
@@ -149,9 +181,8 @@ def _counted(model_file: str, limit: int, store: bool):
             n, fit, deltas = [], [], []
             for t in texts:
                 n.append(counter.count(t))
-                d = counter.deltas(t) if store or n[-1] > limit else b""
-                fit.append(fitting(d, limit) if n[-1] > limit else len(t))
-                deltas.append(d)
+                fit.append(counter.fit(t, limit) if n[-1] > limit else len(t))
+                deltas.append(counter.deltas(t) if store else b"")
             cols = [b.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array(fit, pa.int64()), *([pa.array(deltas, pa.binary())] if store else [])]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_tokens", "fit_chars", *(["deltas"] if store else [])])
 
