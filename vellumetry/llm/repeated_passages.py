@@ -112,17 +112,17 @@ def frames(buf: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarr
     return np.where(inside, buf[np.clip(at, 0, len(buf) - 1)], 0).astype(np.uint8), (first - left).astype(np.uint8), (last - left).astype(np.uint8)
 
 
-def distinct_frames(text: np.ndarray, first: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def distinct_frames(text: np.ndarray, first: np.ndarray, last: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order that puts equal frames together, least id first, and where a new frame begins in it."""
     wide = np.ascontiguousarray(text).view(np.uint64)
     mark = np.zeros(len(text), np.uint64)
     for column in wide.T:
         mark = (mark ^ column) * np.uint64(0x9E3779B97F4A7C15)
         mark ^= mark >> np.uint64(32)
-    order = np.lexsort((doc, first, mark))
+    order = np.lexsort((doc, last, first, mark))
     rows = text[order]
     new = np.ones(len(order), bool)
-    new[1:] = (rows[1:] != rows[:-1]).any(axis=1) | (first[order][1:] != first[order][:-1])
+    new[1:] = (rows[1:] != rows[:-1]).any(axis=1) | (first[order][1:] != first[order][:-1]) | (last[order][1:] != last[order][:-1])
     return order, new
 
 
@@ -282,17 +282,19 @@ def _frames(buckets: int):
                     continue
                 first, last, place, short, doc = first[hot], last[hot], place[hot], short[hot], doc[hot]
                 text, c1, c2 = frames(buf, first, last, place)
-                order, new = distinct_frames(text, c1, doc)
+                order, new = distinct_frames(text, c1, c2, doc)
                 group = np.cumsum(new) - 1
                 rep = order[new]
                 here = doc[order] > doc[rep][group]
+                same, own = order[~here], group[~here]  # a frame may stand in its least document more than once
+                times = np.bincount(own, minlength=len(rep))
                 gone = np.stack([first[order[here]], last[order[here]] + LENGTH], axis=1).astype("<i8")
                 bucket = (short[rep] % np.uint64(buckets)).astype(np.int64)
                 out = [(-1 - chunk % buckets, chunk, packed(gone.tobytes()))] if len(gone) else []
                 for k in np.unique(bucket):
-                    r = rep[bucket == k]
-                    head = np.array([len(r)], "<i8").tobytes() + doc[r].astype("<i8").tobytes() + place[r].astype("<i8").tobytes() + c1[r].tobytes() + c2[r].tobytes()
-                    out.append((int(k), chunk, packed(head + text[r].tobytes())))
+                    r, places = rep[bucket == k], place[same[bucket[own] == k]]
+                    head = [np.array([len(r), len(places)]), doc[r], times[bucket == k], places]
+                    out.append((int(k), chunk, packed(b"".join(x.astype("<i8").tobytes() for x in head) + c1[r].tobytes() + c2[r].tobytes() + text[r].tobytes())))
                 yield _rows(out)
 
     return run
@@ -304,24 +306,26 @@ def _judged(batches):
         if bucket < 0:
             yield _rows([(bucket, c, x) for c, x in zip(chunks, blobs, strict=True)])
             continue
-        docs, places, c1, c2, texts, sizes = [], [], [], [], [], []
+        docs, places, times, c1, c2, texts = [], [], [], [], [], []
         for x in blobs:
             raw = unpacked(x)
-            n = int(np.frombuffer(raw, "<i8", 1)[0])
-            sizes.append(n)
-            docs.append(np.frombuffer(raw, "<i8", n, 8))
-            places.append(np.frombuffer(raw, "<i8", n, 8 + 8 * n))
-            c1.append(np.frombuffer(raw, np.uint8, n, 8 + 16 * n))
-            c2.append(np.frombuffer(raw, np.uint8, n, 8 + 17 * n))
-            texts.append(np.frombuffer(raw, np.uint8, n * FRAME, 8 + 18 * n).reshape(n, FRAME))
+            n, m = np.frombuffer(raw, "<i8", 2).tolist()
+            docs.append(np.frombuffer(raw, "<i8", n, 16))
+            times.append(np.frombuffer(raw, "<i8", n, 16 + 8 * n))
+            places.append(np.frombuffer(raw, "<i8", m, 16 + 16 * n))
+            at = 16 + 16 * n + 8 * m
+            c1.append(np.frombuffer(raw, np.uint8, n, at))
+            c2.append(np.frombuffer(raw, np.uint8, n, at + n))
+            texts.append(np.frombuffer(raw, np.uint8, n * FRAME, at + 2 * n).reshape(n, FRAME))
         lo, hi = earlier(np.concatenate(texts), np.concatenate(c1), np.concatenate(c2), np.concatenate(docs))
         out, at = [], 0
-        for c, n, place in zip(chunks, sizes, places, strict=True):
-            some = np.flatnonzero(lo[at : at + n] <= hi[at : at + n])
+        for c, place, often in zip(chunks, places, times, strict=True):
+            a, b = (np.repeat(x[at : at + len(often)], often) for x in (lo, hi))
+            some = np.flatnonzero(a <= b)
             if len(some):
                 left = place[some] - (REACH - 1)
-                out.append((bucket, c, packed(np.stack([left + lo[at + some], left + hi[at + some] + LENGTH], axis=1).astype("<i8").tobytes())))
-            at += n
+                out.append((bucket, c, packed(np.stack([left + a[some], left + b[some] + LENGTH], axis=1).astype("<i8").tobytes())))
+            at += len(often)
         yield _rows(out)
 
 
