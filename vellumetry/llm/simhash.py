@@ -16,7 +16,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import few_rows, text_of, worker_state, written
@@ -111,8 +111,8 @@ def links(distinct_fps: DataFrame) -> DataFrame:
     shared = keys.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("key")
     found = written(keys.join(shared, "key", "left_semi").select("fp").distinct(), "simhash-candidates")
     words = found.mapInArrow(_words, "word long, fp long")
-    hubs = words.groupBy("word").agg(F.min("fp").alias("b"), F.max("fp").alias("hi")).filter("b <> hi").select("word", "b")
-    edges = words.join(hubs, "word").filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    hub = F.min("fp").over(Window.partitionBy("word"))  # of at most 65 fingerprints
+    edges = words.withColumn("b", hub).filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
     return edges.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
 
