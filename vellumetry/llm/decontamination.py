@@ -121,7 +121,10 @@ def _verified(found: DataFrame, weights: DataFrame, shingles: DataFrame, anchors
 
 
 def decontaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the records that hold an item; columns as they were."""
+    """docs without the records that hold an item; columns as they were.
+
+    The records found grow with the corpus, so they are joined by sort and merge at every size.
+    """
     key = unused_name(docs, "_key")
     held = written(leaks(docs, bench, id_col, text_col).select(F.col("key").alias(key)).distinct(), "leaking")
-    return docs.withColumn(key, row_key(docs, id_col, text_col)).join(held, key, "left_anti").select(*docs.columns)
+    return docs.withColumn(key, row_key(docs, id_col, text_col)).join(held.hint("merge"), key, "left_anti").select(*docs.columns)

@@ -129,10 +129,10 @@ def sampled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """df with each record as often as the mix takes it (0 to COPIES times); columns as they were.
 
     Records that share an id are each taken as often as the most taken of them (ids are distinct in the
-    pipeline). Texts move only where the counts are too many to broadcast.
+    pipeline). Texts meet the counts by a sort-merge join at every size, as the counts grow with the corpus.
     """
     have, many = unused_name(df, "_have"), unused_name(df, "_copies")
     taken = mixed(df, id_col, text_col, source_col).groupBy("doc_id").agg(F.max("copies").alias(many)).filter(F.col(many) > 0)
     taken = written(taken.withColumnRenamed("doc_id", have), "mix-taken")
-    each = df.join(taken, df[id_col].eqNullSafe(taken[have])).withColumn(many, F.explode(F.array_repeat(F.lit(1), F.col(many).cast("int"))))
+    each = df.join(taken.hint("merge"), df[id_col].eqNullSafe(taken[have])).withColumn(many, F.explode(F.array_repeat(F.lit(1), F.col(many).cast("int"))))
     return each.select(*df.columns)

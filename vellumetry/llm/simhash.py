@@ -16,10 +16,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import few_rows, text_of, worker_state, written
+from .common import few_rows, text_of, unused_name, worker_state, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: The generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -82,11 +82,18 @@ def fingerprint(text: str) -> int:
 def _fingerprints(batches):
     for b in few_rows(batches):
         fp = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fp)], names=["doc_id", "text_hash", "fp"])
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(df, text_col).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """doc_id, text_hash, fp of each record."""
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(df, text_col).alias("text_hash"), text_of(df, text_col).alias("text"))
+    return docs.mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long")
+
+
+def text_hash(df: DataFrame, text_col: str) -> Column:
+    """Tells apart the texts of records that share an id."""
+    return F.xxhash64(text_of(df, text_col))
 
 
 def _keys(batches):
@@ -138,6 +145,17 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {limit} rounds")
 
 
+def _grouped(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text_hash, fp, root (the component's least fingerprint), component_id of each record."""
+    docs = written(fingerprints(df, id_col, text_col), "simhash-fingerprints")
+    fps = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    label = components(links(fps))
+    rooted = fps.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = written(rooted, "simhash-roots")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return docs.join(rooted.select("fp", "root").join(least, "root"), "fp")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per record: doc_id, fp (64 bits as long), component_id (least doc_id reachable over links of RADIUS or fewer bits).
 
@@ -145,27 +163,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     and blank texts have fingerprint 0 and link like any other. A null id has no say in component_id; where a
     component has only null ids, that is null. An empty table gives no rows.
     """
-    docs = written(fingerprints(df, id_col, text_col), "simhash-fingerprints")
-    fps = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    label = components(links(fps))
-    rooted = fps.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = written(rooted, "simhash-roots")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return docs.join(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return _grouped(df, id_col, text_col).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without all but the record with the least id of each component; of records that share the id, one.
+    """df with one record of each component: that with the least id; of records that share it, the one whose text's hash is least, once.
 
-    Only ids and fingerprints move; texts move for repeated ids alone.
+    Ids and hashes are chosen first. Then texts meet what was chosen by a sort-merge join, at every size: the
+    chosen ids grow with the corpus, so they are never broadcast.
     """
-    from .common import unused_name
-
-    found = near_duplicates(df, id_col, text_col).filter("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    found = written(found, "simhash-kept")
-    mark, many = unused_name(df, "_kept"), unused_name(df, "_many")
-    found = found.select(F.col("doc_id").alias(mark), (F.col("n") > 1).alias(many))
-    kept = df.join(found, df[id_col].cast("long").eqNullSafe(found[mark]))
+    have, mark, many = (unused_name(df, n) for n in ("_kept", "_hash", "_many"))
+    able = _grouped(df, id_col, text_col).filter("doc_id <=> component_id").groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    found = able.groupBy("root").agg(F.min(F.struct("text_hash", "doc_id", "n")).alias("r"))
+    found = written(found.select(F.col("r.doc_id").alias(have), F.col("r.text_hash").alias(mark), (F.col("r.n") > 1).alias(many)), "simhash-kept")
+    kept = df.join(found.hint("merge"), df[id_col].cast("long").eqNullSafe(found[have]) & (text_hash(df, text_col) == found[mark]))
     once = kept.filter(~F.col(many)).select(*df.columns)
-    again = kept.filter(F.col(many)).groupBy(mark).agg(F.min_by(F.struct(*df.columns), F.coalesce(F.col(text_col), F.lit(""))).alias("r")).select("r.*")
+    again = kept.filter(F.col(many)).groupBy(have, mark).agg(F.first(F.struct(*df.columns)).alias("r")).select("r.*")
     return once.unionByName(again)
