@@ -35,10 +35,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their virtual slot and shard."""
+    """All documents with their virtual slot and shard (under longer names where documents have such columns)."""
     out, _, _ = sharding.assign(docs, SHARDS)
     slot, shard = out.columns[-2:]
-    return out.withColumnRenamed(slot, "slot").withColumnRenamed(shard, "shard")
+    return out.withColumnsRenamed({slot: common.unused_name(docs, "slot"), shard: common.unused_name(docs, "shard")})
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("benchmark_leaks", benchmark_leaks), ("mix", mix), ("shards", shards)]

@@ -167,7 +167,7 @@ def earlier(text: np.ndarray, first: np.ndarray, last: np.ndarray, doc: np.ndarr
     return lo, hi
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """Chunks: id, then document ids, ends of texts and bytes, compressed."""
     part, n = TaskContext.get().partitionId(), 0
     ids, texts, size = [], [], 0
@@ -181,7 +181,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in few_rows(batches, 500, 1 << 20):
         for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
             raw = t.encode()
-            if texts and size + len(raw) > CHUNK:
+            if texts and size + len(raw) > limit:
                 yield row()
                 ids, texts, size, n = [], [], 0, n + 1
             ids.append(i)
@@ -356,16 +356,20 @@ def _cut(keep: bool):
     return run
 
 
-def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, chunk: int | None = None, bucket: int | None = None) -> DataFrame:
     """One row per record: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with keep=True the bytes kept.
 
     Null text is empty; texts under LENGTH bytes lose nothing. A null id counts as larger than any other.
     Rows of one id do not remove each other's bytes. An empty table gives no rows.
+
+    chunk and bucket (bytes, by default CHUNK and BUCKET) set what one task holds. A chunk sends each bucket
+    one message, so for tens of TB they should grow together (64 MB and 256 MB keep messages at some hundred bytes).
     """
+    limit = chunk or CHUNK
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(df, text_col).alias("text"))
-    chunks = written(docs.mapInArrow(_pack, "chunk long, n long, body binary"), "passage-chunks")
+    chunks = written(docs.mapInArrow(lambda batches: _pack(batches, limit), "chunk long, n long, body binary"), "passage-chunks")
     size = chunks.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).head()[0] * 3
-    buckets = max(64, size // BUCKET)
+    buckets = max(64, size // (bucket or BUCKET))
     by_bucket = lambda sent: sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     told = lambda answers: answers.groupBy("chunk").agg(F.collect_list("blob").alias("told"))
     shared = written(by_bucket(chunks.mapInArrow(_hashes(buckets), MESSAGE)).mapInArrow(_shared, MESSAGE), "passage-hashes")
