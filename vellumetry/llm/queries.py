@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import documents
 from .decontamination import leaks
-from .licenses import license_scan
+from .licenses import PHRASES, TEMPLATES, license_scan, ordered, words_of
 from .mixing import mixed
 from .quality_crf import learn, scores
 from .quality_rules import quality_rules
@@ -147,4 +147,29 @@ select doc_id, item_id, cast(arg_max(start, (similarity, -start)) as bigint) as
 from si join k using (r) group by r, doc_id, item_id
 """
 
-ORACLE_SQL = {"op4_decontamination": LEAKS_SQL, "op6_mixing": MIX_SQL, "op9_quality_rules": RULES_SQL}
+
+
+def _license_sql() -> str:
+    """The scan's definition, without its filters; templates and phrases as literals."""
+    words, lists = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'", lambda ws: "[" + ", ".join(f"'{w.decode()}'" for w in ws) + "]"
+    templates = ", ".join(f"('{t.label}', '{t.block}', {t.need}, {lists(t.order)})" for t in ordered(TEMPLATES, {}))
+    phrases = ", ".join(f"({lists(words_of(p))}, '{label}')" for p, label in PHRASES.items())
+    return f"""
+with d as (select row_number() over () as r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+w as (select r, regexp_extract_all(t, {words}) as w from d),
+tp(label, kind, need, tw) as (values {templates}), ph(pw, label) as (values {phrases}),
+hit as (select r, w, pw, label, unnest(range(1, len(w) + 1)) as i from w cross join ph where contains(' ' || array_to_string(w, ' ') || ' ', ' ' || array_to_string(pw, ' ') || ' ')),
+pos as (select r, i - 1 as i, label from hit where w[i:i + len(pw) - 1] = pw),
+b as (select r, count(*) as n_base, min(i) as first_word, max(i) as last_word from pos group by r),
+blocks as (select r, 'line' as kind, unnest(string_split(t, chr(10))) as block from d union all select r, 'paragraph', unnest(regexp_split_to_array(t, '\\n(?:[ \\t\\r]*\\n)+')) from d),
+met as (select r, label, len(list_intersect(list_distinct(regexp_extract_all(block, {words})), tw)) as n, need, len(tw) as m from blocks join tp using (kind)),
+ok as (select r, label, n / m as share from met where n >= need),
+every as (select r, label, 1.0 as share, true as base from pos union all select r, label, share, false from ok),
+l as (select r, string_agg(distinct label, ',' order by label) filter (base) as base_labels, string_agg(distinct label, ',' order by label) as labels, max(share) as score from every group by r)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
+       cast(coalesce(score, 0) as double) as score
+from d join w using (r) left join b using (r) left join l using (r)
+"""
+
+
+ORACLE_SQL = {"op10_license_scan": _license_sql(), "op4_decontamination": LEAKS_SQL, "op6_mixing": MIX_SQL, "op9_quality_rules": RULES_SQL}
