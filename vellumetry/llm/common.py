@@ -31,7 +31,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

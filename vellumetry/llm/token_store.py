@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +28,9 @@ from .common import few_rows, new_path, text_of, worker_state, written
 
 #: Ids in a window of the rolling hash; ids in a chunk: at least, on average about, at most.
 WINDOW, LEAST, MEAN, MOST = 8, 64, 256, 2048
-KEPT, LONGEST = 300_000, 64
+KEPT, LONGEST = 450_000, 256
+#: What special strings begin with, and marks that compose with ASCII letters; a letter and a mark after it.
+WHOLE, TAIL = "<\\||[\\x{0300}-\\x{036f}]", r"([a-z])([!-&(-/:-@\[-`{-~])"
 
 
 def digest(data: bytes) -> bytes:
@@ -35,8 +38,8 @@ def digest(data: bytes) -> bytes:
 
 
 def merkle(leaves: list[bytes]) -> bytes:
-    """Root over pairs of pairs; an odd node moves up."""
-    level = [digest(b"\0" + x) for x in leaves] or [digest(b"")]
+    """Root over pairs of pairs of digests; an odd node moves up."""
+    level = leaves or [digest(b"")]
     while len(level) > 1:
         level = [digest(b"\1" + b"".join(level[i : i + 2])) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
     return level[0]
@@ -49,7 +52,7 @@ class MerkleStream:
         self.full: list[bytes | None] = []
 
     def add(self, leaf: bytes) -> None:
-        node = digest(b"\0" + leaf)
+        node = leaf
         for i, left in enumerate(self.full):
             if left is None:
                 self.full[i] = node
@@ -101,7 +104,9 @@ class Encoder:
         self.width = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
         self.mark = "<|endoftext|>"
         self.mark_id = self.lib.token_to_id(self.mark)
+        #: Ids of parts: those seen lately, and those seen before these.
         self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         probe = "A b\nć d"
         if self.mark_id is None or self.lib.encode(probe, add_special_tokens=False).ids != [i for p in probe.replace("\n", " ").split(" ") for i in self.lib.encode(p, add_special_tokens=False).ids]:
             raise ValueError("this tokenizer keeps white space: parts would not be independent")
@@ -109,34 +114,56 @@ class Encoder:
     def learn(self, parts: list[str]) -> dict[str, bytes]:
         plain = [p for p in parts if "<|" not in p]
         out = {p: np.array(self.lib.encode(p, add_special_tokens=False).ids, self.width).tobytes() for p in parts if "<|" in p}
-        for at in range(0, len(plain), 5000):
-            some = plain[at : at + 5000]
-            ids = np.array(self.lib.encode(self.mark.join([*some, ""]), add_special_tokens=False).ids, self.width)
-            ends = np.flatnonzero(ids == self.mark_id).tolist()
-            data, w, start = ids.tobytes(), self.width.itemsize, 0
-            for p, end in zip(some, ends, strict=True):
-                out[p] = data[start * w : end * w]
-                start = end + 1
+        pages = [plain[at : at + 5000] for at in range(0, len(plain), 5000)]
+        w = self.width.itemsize
+        for some, got in zip(pages, self.lib.encode_batch_fast([self.mark.join([*p, ""]) for p in pages], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, self.width)
+            ends, data = np.flatnonzero(ids == self.mark_id).tolist(), ids.tobytes()
+            if len(ends) != len(some):
+                raise ValueError("the mark between parts is not kept apart")
+            out.update({p: data[(i + 1) * w : j * w] for p, i, j in zip(some, [-1, *ends], ends, strict=False)})
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new: set[str] = set()
-        for parts in split:
-            new.update([p for p in parts if p not in self.parts])
-        if len(self.parts) + len(new) > KEPT:
-            self.parts.clear()
-            new = {p for parts in split for p in parts}
-        known = self.parts
-        if new:
-            got = self.learn(list(new))
-            if len(new) > KEPT:
-                known = got
-            else:
-                known.update(got)
-        out = [b"".join([known[p] for p in parts]) for parts in split]
-        for p in [p for p in new if len(p) > LONGEST]:
-            self.parts.pop(p, None)
+    def alone(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part, from the cache where they are known."""
+        if len(self.parts) > KEPT:
+            self.parts, self.older = {}, self.parts
+        known, older = self.parts, self.older
+        found = list(map(known.get, parts))
+        if None not in found:
+            return found
+        new = {p for p, x in zip(parts, found, strict=True) if x is None}
+        known.update({p: older[p] for p in new if p in older})
+        new = [p for p in new if p not in known]
+        known.update(self.learn(new))
+        found = [known[p] if x is None else x for p, x in zip(parts, found, strict=True)]
+        for p in new:
+            if len(p) > LONGEST:
+                known.pop(p, None)
+        return found
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text. Distinct parts of a batch are told apart by Arrow, so that Python sees each once.
+
+        ASCII capitals are lower-cased first, as the normalizer does, and marks after letters are parted from
+        them, as the pattern of words does (but for the apostrophe's). Texts where that could change what marks
+        compose with or which special strings stand there go to the library as a whole.
+        """
+        whole = pc.match_substring_regex(texts, WHOLE).to_numpy(zero_copy_only=False).astype(bool)
+        parted = pc.replace_substring_regex(pc.ascii_lower(texts), TAIL, r"\1 \2")
+        parts = pc.split_pattern(pc.replace_substring(parted, "\n", " "), " ")
+        coded = parts.flatten().dictionary_encode()
+        ids = self.alone(coded.dictionary.to_pylist())
+        size = np.array([len(x) for x in ids], np.int64) // self.width.itemsize
+        every, start = np.frombuffer(b"".join(ids), self.width), np.cumsum(size) - size
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        each = size[which]
+        before = np.cumsum(each) - each
+        flat = every[np.repeat(start[which] - before, each) + np.arange(int(each.sum()))]
+        ends = np.append(before, len(flat))[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+        out = [flat[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        for k in np.flatnonzero(whole):
+            out[k] = np.array(self.lib.encode(texts[k].as_py(), add_special_tokens=False).ids, self.width)
         return out
 
 
@@ -145,10 +172,10 @@ def _encoded(file: str, end_id: int):
         enc = worker_state(f"encoder-{file}", lambda: Encoder(file))
         end = np.array([end_id], enc.width).tobytes()
         w = enc.width.itemsize
-        for b in few_rows(batches, 500, 8 << 20):
+        for b in few_rows(batches, 6000, 20 << 20):
             n, roots, digests, lengths, chunks = [], [], [], [], []
-            for data in enc.encode(b.column("text").to_pylist()):
-                data += end
+            for ids in enc.encode(b.column("text")):
+                data = ids.tobytes() + end
                 ends = cuts(np.frombuffer(data, enc.width))
                 parts = [data[i * w : j * w] for i, j in zip([0, *ends], ends, strict=False)]
                 n.append(len(data) // w)
@@ -195,7 +222,7 @@ def write_store(df: DataFrame, tokenizer_file: str, end_id: int = 2, path: str |
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(df, text_col).alias("text"))
     encoded = written(docs.mapInArrow(_encoded(tokenizer_file, end_id), "doc_id long, n_tokens long, root binary, digests array<binary>, lengths array<int>, chunks array<binary>"), "token-streams")
     each = encoded.select(F.explode(F.arrays_zip("digests", "lengths", "chunks")).alias("c")).select(F.col("c.digests").alias("digest"), F.col("c.lengths").alias("n"), F.col("c.chunks").alias("ids"))
-    each.groupBy("digest").agg(F.first("n").alias("n"), F.first("ids").alias("ids")).write.parquet(f"{path}/chunks")
+    each.groupBy("digest").agg(F.first("n").alias("n"), F.first("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{path}/chunks")
     ranged = encoded.select("doc_id", "n_tokens", "root", "digests", "lengths").repartitionByRange("doc_id").withColumn("part", F.spark_partition_id())
     ranged = written(ranged, "token-recipes")
     before, starts = 0, []
@@ -234,29 +261,30 @@ def crc_shift(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each chunk of each recipe, with the ids after it; checks roots."""
     for b in few_rows(batches):
-        ids, starts, digests, after = [], [], [], []
-        for r in b.to_pylist():
-            if merkle(r["digests"]) != r["root"] or sum(r["lengths"]) != r["n_tokens"]:
-                raise ValueError(f"recipe of document {r['doc_id']} is damaged")
-            left = r["n_tokens"]
-            for d, n in zip(r["digests"], r["lengths"], strict=True):
-                left -= n
-                ids.append(r["doc_id"])
-                starts.append(r["start"])
-                digests.append(d)
-                after.append(left)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(digests, pa.binary()), pa.array(after, pa.int64())], names=["doc_id", "start", "digest", "after"])
+        digests, lengths = b.column("digests"), b.column("lengths").flatten().to_numpy()
+        at = digests.offsets.to_numpy() - digests.offsets[0].as_py()
+        flat, n = digests.flatten(), b.column("n_tokens").to_numpy()
+        leaves, roots, upto = flat.to_pylist(), b.column("root").to_pylist(), np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        whole = upto[at[1:]] - upto[at[:-1]] == n
+        for k, (i, j) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+            if not whole[k] or merkle(leaves[i:j]) != roots[k]:
+                raise ValueError(f"recipe of document {b.column('doc_id')[k]} is damaged")
+        of = np.repeat(np.arange(len(n)), np.diff(at))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(of)), b.column("start").take(pa.array(of)), flat, pa.array(upto[at[1:]][of] - upto[1:])], names=["doc_id", "start", "digest", "after"])
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The raw CRC-32 of each chunk's ids as 4-byte integers; checks digests."""
     for b in few_rows(batches):
-        crc = []
-        for d, n, ids in zip(*(b.column(c).to_pylist() for c in ("digest", "n", "ids")), strict=True):
-            if digest(ids) != d:
+        crc, parts = [], b.column("ids").to_pylist()
+        sizes = b.column("n").to_numpy()
+        narrow = sum(map(len, parts)) == 2 * int(sizes.sum())
+        wide, at = memoryview(np.frombuffer(b"".join(parts), "<u2" if narrow else "<u4").astype("<u4").tobytes()), 0
+        for d, n, ids in zip(b.column("digest").to_pylist(), sizes.tolist(), parts, strict=True):
+            if digest(ids) != d or len(ids) != n * (2 if narrow else 4):
                 raise ValueError(f"chunk {d.hex()} is damaged")
-            wide = np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4").tobytes()
-            crc.append(zlib.crc32(wide, 0xFFFFFFFF) ^ 0xFFFFFFFF)
+            crc.append(zlib.crc32(wide[at : at + 4 * n], 0xFFFFFFFF) ^ 0xFFFFFFFF)
+            at += 4 * n
         yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("n"), pa.array(crc, pa.int64())], names=["digest", "n", "crc"])
 
 
