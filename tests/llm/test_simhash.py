@@ -4,7 +4,7 @@ import re
 import numpy as np
 from xxhash import xxh64_intdigest
 
-from vellumetry.llm.simhash import components, fingerprint, golay_index, links, near_duplicates, neighbours, one_of_each, triples
+from vellumetry.llm.simhash import components, fingerprint, golay_index, links, near_duplicates, neighbours, one_of_each, similarity, sketch, triples
 
 
 def slow_fingerprint(text):
@@ -91,8 +91,48 @@ def test_rows(spark, odd, odd_rows, none):
     key = lambda r: repr(r)
     got = sorted(((r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in near_duplicates(odd).collect()), key=key)
     assert got == sorted(((i, f, least.get(root[f])) for i, f in docs), key=key)
+    assert near_duplicates(none).count() == 0
+
+
+def shingle_set(t):
+    w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_sketches_tell_similarity():
+    rnd = random.Random(5)
+    for n in (0, 3, 60, 400, 3000):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(n)]
+        other = [f"x{k}" if rnd.random() < 0.02 else w for k, w in enumerate(words)]
+        a, b = " ".join(words), " ".join(other)
+        assert abs(similarity(sketch(a)[1], sketch(b)[1]) - jaccard(shingle_set(a), shingle_set(b))) < (0.06 if n > 400 else 1e-9)
+
+
+def test_one_of_each_near_group(spark):
+    rnd = random.Random(7)
+    texts = []
+    for _ in range(60):
+        words = [f"w{rnd.randrange(3000)}" for _ in range(rnd.randint(60, 500))]
+        for _ in range(4):
+            texts.append(" ".join(f"edit{rnd.randrange(10**6)}" if rnd.random() < 0.008 else w for w in words))
+    docs = [(1000 - i, t) for i, t in enumerate(texts)]
+    sets = [shingle_set(t) for _, t in docs]
+    kept = {r.doc_id for r in one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    near = [[j for j in range(4 * (i // 4), 4 * (i // 4) + 4) if j != i and jaccard(sets[i], sets[j]) >= 0.8] for i in range(len(docs))]
+    # the least id of a family is the last of its texts; one that is like it goes
+    gone = [i for i, others in enumerate(near) if any(j > i for j in others)]
+    assert len(gone) > 100 and sum(docs[i][0] not in kept for i in gone) >= 0.95 * len(gone)
+    assert all(docs[i][0] in kept for i, others in enumerate(near) if not others)
+
+
+def test_one_of_each_odd_rows(spark, odd, odd_rows, none):
     kept = one_of_each(odd)
-    assert kept.columns == odd.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted(set(least.values())) and len(ids) == len({root[f] for _, f in docs})
-    assert near_duplicates(none).count() == 0 and one_of_each(none).count() == 0
+    rows = kept.collect()
+    sets = {t: shingle_set(t) for t in {r[1] or "" for r in odd_rows}}
+    root = roots(sorted(sets), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
+    assert kept.columns == odd.columns and {root[r.text or ""] for r in rows} == set(root.values()) and len(rows) == len(set(root.values()))
+    assert one_of_each(none).count() == 0
