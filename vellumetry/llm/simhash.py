@@ -212,15 +212,38 @@ def _sketches(batches):
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array([p for p, _ in made], pa.list_(pa.int64())), pa.array([h.tobytes() for _, h in made], pa.binary())], names=["doc_id", "text_hash", "prints", "shingles"])
 
 
-def _print_keys(batches):
-    """(key, node): the triples of each fingerprint of a text, told apart by the fingerprint's number."""
-    for b in few_rows(batches, 2000):
-        fp = b.column("prints").flatten().to_numpy(zero_copy_only=False)
-        keys = triples(neighbours(fp)) | np.tile(np.arange(PRINTS, dtype=np.int64), len(fp) // PRINTS)[:, None] << 40
-        keys = np.sort(keys, axis=1)
-        new = np.concatenate([np.ones((len(keys), 1), bool), keys[:, 1:] != keys[:, :-1]], axis=1)
-        node = np.repeat(b.column("text_hash").to_numpy(zero_copy_only=False), PRINTS)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[new]), pa.array(np.repeat(node, new.sum(axis=1)))], names=["key", "node"])
+def _print_keys(prints: range):
+    """(key, node, tag): the triples of these fingerprints of a text, told apart by the fingerprint's number."""
+
+    def run(batches):
+        for b in few_rows(batches, 2000):
+            fp = b.column("prints").flatten().to_numpy(zero_copy_only=False).reshape(-1, PRINTS)[:, prints.start : prints.stop].ravel()
+            keys = triples(neighbours(fp)) | np.tile(np.arange(prints.start, prints.stop, dtype=np.int64), b.num_rows)[:, None] << 40
+            keys = np.sort(keys, axis=1)
+            new = np.concatenate([np.ones((len(keys), 1), bool), keys[:, 1:] != keys[:, :-1]], axis=1)
+            each = new.sum(axis=1)
+            node, tag = (np.repeat(np.repeat(b.column(c).to_numpy(zero_copy_only=False), len(prints)), each) for c in ("node", "tag"))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[new]), pa.array(node), pa.array(tag)], names=["key", "node", "tag"])
+
+    return run
+
+
+def _likely(texts: DataFrame, prints: range) -> DataFrame:
+    """Pairs (a, b): of each bucket, each text with the least one, where their tags differ. texts: node, tag, prints."""
+    keys = texts.mapInArrow(_print_keys(prints), "key long, node long, tag int")
+    hubs = keys.groupBy("key").agg(F.min("node").alias("b"), F.min_by("tag", "node").alias("b_tag"), F.min("tag").alias("lo"), F.max("tag").alias("hi")).filter("lo <> hi")
+    hubs = hubs.select(F.col("key").alias("b_key"), "b", "b_tag").hint("merge")
+    other = (F.col("key") == F.col("b_key")) & (F.col("tag") != F.col("b_tag"))
+    return written(keys.join(hubs, other).select(F.col("node").alias("a"), "b").distinct(), "simhash-pairs")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs whose shingles are similar enough."""
+    meant = pairs.select(F.col("a").alias("text_hash")).unionByName(pairs.select(F.col("b").alias("text_hash"))).distinct()
+    sets = written(docs.join(meant.hint("merge"), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("shingles").alias("shingles")), "simhash-sets")
+    of = lambda n, s: sets.select(F.col("text_hash").alias(n), F.col("shingles").alias(s)).hint("merge")
+    both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")
+    return written(both.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"), "simhash-similar")
 
 
 def _similar(batches):
@@ -232,21 +255,23 @@ def _similar(batches):
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, root, component_id of each record, over links of SIMILARITY or more in five-word shingles.
 
-    A text is compared with the least text of each bucket that it is in, so a group of near copies costs rows
-    in proportion to its size. A pair is missed only where no fingerprint of it comes within about two bits
-    (one in six at 0.8, one in a hundred at 0.9) and no third text links it. Nulls and ties as in near_duplicates.
+    A text is compared with the least text of each bucket that it is in, so a group of near copies costs rows in
+    proportion to its size. The first fingerprint goes ahead: what it joins needs no comparing by the others,
+    which look for links between its components only. A pair is missed where no fingerprint of it comes within
+    about two bits (one in six at 0.8, one in a hundred at 0.9) and no third text links it. Nulls and ties as in
+    near_duplicates.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(df, text_col).alias("text_hash"), text_of(df, text_col).alias("text"))
     docs = written(docs.mapInArrow(_sketches, "doc_id long, text_hash long, prints array<long>, shingles binary"), "simhash-sketches")
-    ids = docs.select("doc_id", "text_hash").groupBy("text_hash").agg(F.min("doc_id").alias("least"))
-    keys = docs.select("text_hash", "prints").mapInArrow(_print_keys, "key long, node long")
-    hubs = keys.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("hi")).filter("b <> hi").select("key", "b")
-    pairs = written(keys.join(hubs.hint("merge"), "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), "simhash-pairs")
-    meant = pairs.select(F.col("a").alias("text_hash")).unionByName(pairs.select(F.col("b").alias("text_hash"))).distinct()
-    sets = written(docs.join(meant, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("shingles").alias("shingles")), "simhash-sets")
-    of = lambda n, s: sets.select(F.col("text_hash").alias(n), F.col("shingles").alias(s)).hint("merge")
-    label = components(pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"))
-    rooted = written(ids.join(label.withColumnRenamed("node", "text_hash"), "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash")), "simhash-roots")
+    ids = docs.groupBy("text_hash").agg(F.min("doc_id").alias("least"))
+    tag = lambda c: F.shiftright(c, 32).cast("int").alias("tag")
+    texts = docs.select(F.col("text_hash").alias("node"), tag("text_hash"), "prints")
+    first = _verified(_likely(texts, range(1)), docs)
+    label = components(first).withColumnRenamed("node", "text_hash")
+    texts = docs.join(label.hint("merge"), "text_hash", "left").select(F.col("text_hash").alias("node"), tag(F.coalesce("root", "text_hash")), "prints")
+    more = _verified(_likely(texts, range(1, PRINTS)), docs)
+    label = components(first.unionByName(more)).withColumnRenamed("node", "text_hash")
+    rooted = written(ids.join(label, "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash")), "simhash-roots")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return docs.select("doc_id", "text_hash").join(rooted.select("text_hash", "root").join(least, "root"), "text_hash")
 
