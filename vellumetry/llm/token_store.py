@@ -172,7 +172,7 @@ def _encoded(file: str, end_id: int):
         enc = worker_state(f"encoder-{file}", lambda: Encoder(file))
         end = np.array([end_id], enc.width).tobytes()
         w = enc.width.itemsize
-        for b in few_rows(batches, 6000, 20 << 20):
+        for b in few_rows(batches, 5000, 16 << 20):
             n, roots, digests, lengths, chunks = [], [], [], [], []
             for ids in enc.encode(b.column("text")):
                 data = ids.tobytes() + end
