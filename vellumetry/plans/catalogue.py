@@ -83,8 +83,8 @@ def normalize_documents(spark, d):
 
 
 def meaningful_tokens(spark, d):
-    t = T.tokens(T.normalize(F.col("text"), unicode=False))
-    return table(spark, d, "documents").select("doc_id", F.size(T.meaningful(t)).cast("long").alias("n_meaningful"), F.size(t).cast("long").alias("n_tokens"))
+    docs = table(spark, d, "documents").withColumn("words", T.tokens(T.normalize(F.col("text"), unicode=False)))  # made once a row
+    return docs.select("doc_id", F.size(T.meaningful(F.col("words"))).cast("long").alias("n_meaningful"), F.size("words").cast("long").alias("n_tokens"))
 
 
 def char_set_size(spark, d):
