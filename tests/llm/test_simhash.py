@@ -136,3 +136,22 @@ def test_one_of_each_odd_rows(spark, odd, odd_rows, none):
     root = roots(sorted(sets), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
     assert kept.columns == odd.columns and {root[r.text or ""] for r in rows} == set(root.values()) and len(rows) == len(set(root.values()))
     assert one_of_each(none).count() == 0
+
+
+def test_near_copies_under_an_unlike_hub(spark):
+    """All have the same words, so the same fingerprints; the least of them is like none of the others."""
+    rnd = random.Random(11)
+    words = [f"w{k}" for k in range(300)]
+    swapped = list(words)
+    swapped[100], swapped[101] = swapped[101], swapped[100]
+    a, c = " ".join(words), " ".join(swapped)
+    hashed = lambda t: signed(xxh64_intdigest(t.encode(), 42))
+    hubs = []
+    while len(hubs) < 3:
+        h = " ".join(rnd.sample(words, len(words)))
+        if hashed(h) < min(hashed(a), hashed(c)):
+            hubs.append(h)
+    assert jaccard(shingle_set(a), shingle_set(c)) > 0.9 and all(jaccard(shingle_set(h), shingle_set(a)) < 0.1 for h in hubs)
+    docs = [(1, a), (2, c), *enumerate(hubs, 3)]
+    kept = one_of_each(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5]

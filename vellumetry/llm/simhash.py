@@ -11,8 +11,8 @@ word within one bit of both, so a bucket needs no pairs.
 
 That finds texts a few words apart. similar_groups finds all that share most of their
 five-word shingles: each text has several independent fingerprints of its distinct
-words, which differ little even then; texts that share a triple with the least text of a
-bucket are verified by their shingles.
+words, which differ little even then; texts that share a triple are verified by their
+shingles, first with the least text of a bucket, then with all that this did not join.
 """
 
 from __future__ import annotations
@@ -228,13 +228,27 @@ def _print_keys(prints: range):
     return run
 
 
-def _likely(texts: DataFrame, prints: range) -> DataFrame:
-    """Pairs (a, b): of each bucket, each text with the least one, where their tags differ. texts: node, tag, prints."""
+def _shared(texts: DataFrame, prints: range) -> DataFrame:
+    """(key, node, tag, b, b_tag): the buckets that hold different tags, each member with the least one (b). texts: node, tag, prints."""
     keys = texts.mapInArrow(_print_keys(prints), "key long, node long, tag int")
     hubs = keys.groupBy("key").agg(F.min("node").alias("b"), F.min_by("tag", "node").alias("b_tag"), F.min("tag").alias("lo"), F.max("tag").alias("hi")).filter("lo <> hi")
     hubs = hubs.select(F.col("key").alias("b_key"), "b", "b_tag").hint("merge")
-    other = (F.col("key") == F.col("b_key")) & (F.col("tag") != F.col("b_tag"))
-    return written(keys.join(hubs, other).select(F.col("node").alias("a"), "b").distinct(), "simhash-pairs")
+    return written(keys.join(hubs, F.col("key") == F.col("b_key")).select("key", "node", "tag", "b", "b_tag"), "simhash-buckets")
+
+
+def _likely(shared: DataFrame) -> DataFrame:
+    """Pairs (a, b): of each bucket, each text with the least one, where their tags differ."""
+    return written(shared.filter("tag <> b_tag").select(F.col("node").alias("a"), "b").distinct(), "simhash-pairs")
+
+
+def _apart(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs (a, b), a > b: all that share a bucket and are in different components. label: node, root."""
+    rooted = shared.join(label.hint("merge"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    rooted = written(rooted.join(open_keys.hint("merge"), "key", "left_semi"), "simhash-apart")
+    other = rooted.select(F.col("key").alias("b_key"), F.col("node").alias("b"), F.col("root").alias("b_root")).hint("merge")
+    meet = (F.col("key") == F.col("b_key")) & (F.col("node") > F.col("b")) & (F.col("root") != F.col("b_root"))
+    return written(rooted.join(other, meet).select(F.col("node").alias("a"), "b").distinct(), "simhash-pairs")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -255,22 +269,26 @@ def _similar(batches):
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, root, component_id of each record, over links of SIMILARITY or more in five-word shingles.
 
-    A text is compared with the least text of each bucket that it is in, so a group of near copies costs rows in
-    proportion to its size. The first fingerprint goes ahead: what it joins needs no comparing by the others,
-    which look for links between its components only. A pair is missed where no fingerprint of it comes within
-    about two bits (one in six at 0.8, one in a hundred at 0.9) and no third text links it. Nulls and ties as in
-    near_duplicates.
+    A text is first compared with the least text of each bucket that it is in, so a group of near copies costs
+    rows in proportion to its size. The first fingerprint goes ahead: what it joins needs no comparing by the
+    others, which look for links between its components only. Then all pairs of a bucket that are still in
+    different components are compared, as the least text may be unlike two that are alike. A pair is missed where
+    no fingerprint of it comes within about two bits (one in six at 0.8, one in a hundred at 0.9) and no third
+    text links it. Nulls and ties as in near_duplicates.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(df, text_col).alias("text_hash"), text_of(df, text_col).alias("text"))
     docs = written(docs.mapInArrow(_sketches, "doc_id long, text_hash long, prints array<long>, shingles binary"), "simhash-sketches")
     ids = docs.groupBy("text_hash").agg(F.min("doc_id").alias("least"))
     tag = lambda c: F.shiftright(c, 32).cast("int").alias("tag")
     texts = docs.select(F.col("text_hash").alias("node"), tag("text_hash"), "prints")
-    first = _verified(_likely(texts, range(1)), docs)
+    ahead = _shared(texts, range(1))
+    first = _verified(_likely(ahead), docs)
     label = components(first).withColumnRenamed("node", "text_hash")
     texts = docs.join(label.hint("merge"), "text_hash", "left").select(F.col("text_hash").alias("node"), tag(F.coalesce("root", "text_hash")), "prints")
-    more = _verified(_likely(texts, range(1, PRINTS)), docs)
-    label = components(first.unionByName(more)).withColumnRenamed("node", "text_hash")
+    others = _shared(texts, range(1, PRINTS))
+    more = first.unionByName(_verified(_likely(others), docs))
+    rest = _verified(_apart(ahead.unionByName(others), components(more)), docs)
+    label = components(more.unionByName(rest)).withColumnRenamed("node", "text_hash")
     rooted = written(ids.join(label, "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash")), "simhash-roots")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return docs.select("doc_id", "text_hash").join(rooted.select("text_hash", "root").join(least, "root"), "text_hash")
