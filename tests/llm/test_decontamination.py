@@ -96,3 +96,38 @@ def test_main_path_is_native(spark, case):
     found = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     plan = found.groupBy("item_id").agg(F.count("*"))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def weighted(docs, items):
+    """(doc, item): start and similarity of the most similar window of all, where it is similar enough."""
+    sets = {k: Counter(shingles(b)) for k, b in items}
+    weight = lambda h: max(1, 4 - ((sum(h in s for s in sets.values()) or 1).bit_length() - 1))
+    mass = lambda c: sum(weight(h) * n for h, n in c.items())
+    out = {}
+    for (i, t), (k, want) in ((d, x) for d in docs for x in sets.items()):
+        have, n = shingles(t), sum(want.values())
+        scores = []
+        for s in range(max(1, len(have) - n + 1)):
+            own = Counter(have[s : s + n])
+            both = mass(own & want)
+            scores.append((both / (mass(own) + mass(want) - both), -s))
+        if max(scores)[0] >= 0.8:
+            out[i, k] = (-max(scores)[1], round(max(scores)[0], 6))
+    return out
+
+
+def test_best_window_in_line_with_no_anchor(spark):
+    """Items with a common beginning, whose rarest shingles stand together; words are inserted behind them."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=6))
+    common = [word() for _ in range(40)]
+    items = [(k, " ".join([*common, *(word() for _ in range(60))])) for k in range(9)]
+    docs = []
+    for i in range(9):
+        passage = items[i][1].split()
+        passage[60 + i : 60 + i] = [word() for _ in range(3 + i % 3)]
+        docs.append((i, " ".join([*(word() for _ in range(7 * i)), *passage, *(word() for _ in range(5))])))
+    want = weighted(docs, items)
+    assert want[1, 1] == (7 + 4, round(256 / 308, 6))
+    found = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): (r.start, r.similarity) for r in found.collect()} == want

@@ -6,7 +6,8 @@ SIMILARITY or more. The search:
 
 1. Anchors. Of an item's shingles, the rarest that together weigh over 1 - SIMILARITY
    of it. A window without any of them cannot be similar enough, so only documents
-   with an anchor go on, and only windows that an anchor puts in line with the item.
+   with an anchor go on. Of their windows, at every place, those go on whose shingles
+   that the item has too, counted with repeats, weigh enough: a bound from running sums.
 2. SimHash. Each such window and each item has a 64-bit weighted fingerprint.
 3. Blocks. Eight blocks of eight bits; two fingerprints RADIUS or fewer bits apart have
    a block that differs in at most two bits, so items are listed under all such values.
@@ -99,18 +100,41 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
     return _verified(found, weights, shingles, anchors)
 
 
+def _windows(found: DataFrame, weights: DataFrame, shingles: DataFrame, anchors: DataFrame, wholes: DataFrame) -> DataFrame:
+    """key, item_id, start, len of each window, at every place, that may be similar enough to an item of which the record has an anchor.
+
+    Each place's shingle adds its weight to `own`, and to `held` if the item has it; `held` of a window, at most
+    the item's whole weight, is at least what they share.
+    """
+    places = written(found.select("key", "n", F.posexplode("hs").alias("p", "h")), "decontamination-places")
+    pairs = places.join(anchors, "h").select("key", "item_id", "m").distinct()
+    weighed = places.join(weights, "h", "left").select("key", "n", "p", "h", F.coalesce("w", F.lit(TOP_WEIGHT)).alias("w"))
+    held = F.when(F.col("has"), F.col("w")).otherwise(F.lit(0))
+    each = weighed.join(pairs, "key").join(shingles.select("item_id", "h", F.lit(True).alias("has")), ["item_id", "h"], "left").withColumn("v", held)
+    upto = Window.partitionBy("key", "item_id").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    sums = each.select("key", "item_id", "n", "m", "p", F.sum("w").over(upto).alias("own"), F.sum("v").over(upto).alias("held"))
+    sums = sums.groupBy("key", "item_id", "n", "m").agg(F.sort_array(F.collect_list(F.struct("p", "own", "held"))).alias("s"), F.max("held").alias("most"))
+    sums = sums.join(wholes, "item_id").filter(F.col("most") >= SIMILARITY * F.col("whole")).withColumn("len", F.least("m", "n") - (SHINGLE - 1))
+    before = lambda at, c: F.when(at == 0, F.lit(0)).otherwise(F.get("s", at - 1)[c])
+    within = lambda at, c: F.get("s", at + F.col("len") - 1)[c] - before(at, c)
+
+    def able(at: Column) -> Column:
+        both = F.least(within(at, "held"), F.col("whole"))
+        return both / (within(at, "own") + F.col("whole") - both) >= SIMILARITY
+
+    return sums.select("key", "item_id", F.explode(F.filter(F.sequence(F.lit(0), F.size("s") - F.col("len")), able)).alias("start"), "len")
+
+
 def _verified(found: DataFrame, weights: DataFrame, shingles: DataFrame, anchors: DataFrame) -> DataFrame:
-    hits = found.select("key", "n", F.posexplode("hs").alias("p", "h")).join(anchors, "h")
-    length = F.least("m", "n") - (SHINGLE - 1)
-    windows = hits.select("key", "item_id", F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("m"))).alias("start"), length.alias("len")).distinct()
+    items = shingles.groupBy("item_id").agg(F.sum(F.col("w") * F.col("n")).alias("whole"), *counters(F.col("w") * F.col("n")))
+    items = items.select("item_id", "whole", fingerprint(F.col("whole")).alias("item_fp"))
+    windows = _windows(found, weights, shingles, anchors, items.select("item_id", "whole"))
     inside = windows.join(found.select("key", "doc_id", "hs"), "key").select("key", "doc_id", "item_id", "start", F.explode(F.slice("hs", F.col("start") + 1, F.col("len"))).alias("h"))
     counted = inside.groupBy("key", "doc_id", "item_id", "start", "h").agg(F.count("*").alias("c"))
     joined = counted.join(weights, "h", "left").join(shingles.select("item_id", "h", "n"), ["item_id", "h"], "left").withColumn("w", F.coalesce("w", F.lit(TOP_WEIGHT)))
     both = F.sum(F.col("w") * F.least("c", F.coalesce("n", F.lit(0)))).alias("both")
     scored = joined.groupBy("key", "doc_id", "item_id", "start").agg(both, F.sum(F.col("w") * F.col("c")).alias("own"), *counters(F.col("w") * F.col("c")))
     scored = scored.select("key", "doc_id", "item_id", "start", "both", "own", fingerprint(F.col("own")).alias("fp"))
-    items = shingles.groupBy("item_id").agg(F.sum(F.col("w") * F.col("n")).alias("whole"), *counters(F.col("w") * F.col("n")))
-    items = items.select("item_id", "whole", fingerprint(F.col("whole")).alias("item_fp"))
     near = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << BLOCK_BITS) - 1).cast("long")), lambda v: F.bit_count(v.bitwiseXOR(F.col("b.value"))) <= BLOCK_RADIUS)
     listed = items.select("item_id", "whole", "item_fp", F.explode(blocks(F.col("item_fp"))).alias("b")).select("item_id", "whole", "item_fp", F.col("b.block").alias("block"), F.explode(near).alias("value"))
     probes = scored.withColumn("b", F.explode(blocks(F.col("fp")))).select(*scored.columns, F.col("b.block").alias("block"), F.col("b.value").alias("value"))
