@@ -131,3 +131,14 @@ def test_best_window_in_line_with_no_anchor(spark):
     assert want[1, 1] == (7 + 4, round(256 / 308, 6))
     found = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id): (r.start, r.similarity) for r in found.collect()} == want
+
+
+def test_repeated_clashing_and_null_items(spark):
+    rnd = random.Random(10)
+    texts = [" ".join("".join(rnd.choices("abcdefghij", k=5)) for _ in range(30)) for _ in range(6)]
+    items = [(0, texts[0]), (0, texts[0]), (1, texts[1]), (1, texts[2]), (None, texts[3]), (None, texts[4]), (5, texts[5])]
+    docs = [*enumerate(texts), (6, f"{texts[1]} and {texts[2]}"), (7, "a text that holds none of the items")]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(((r.doc_id, r.item_id, r.start, r.similarity) for r in D.leaks(frame, bench).collect()), key=repr)
+    assert got == sorted([(0, 0, 0, 1.0), (1, 1, 0, 1.0), (2, 1, 0, 1.0), (3, None, 0, 1.0), (4, None, 0, 1.0), (5, 5, 0, 1.0), (6, 1, 0, 1.0), (6, 1, 31, 1.0)], key=repr)
+    assert [r.doc_id for r in D.decontaminated(frame, bench).collect()] == [7]

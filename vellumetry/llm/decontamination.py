@@ -51,18 +51,23 @@ def row_key(df: DataFrame, id_col: str, text_col: str) -> Column:
     return F.concat_ws(":", F.coalesce(df[id_col].cast("string"), F.lit("null")), F.md5(text_of(df, text_col).cast("binary")))
 
 
-def item_tables(bench: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of the items: weights (h, w), shingles (item_id, h, n, w) and anchors (item_id, q, h, m)."""
-    items = bench.select(F.col(id_col).alias("item_id"), words(text_of(bench, text_col)).alias("ws")).select("item_id", F.size("ws").alias("m"), hashes(F.col("ws")).alias("hs"))
-    places = written(items.select("item_id", "m", F.posexplode("hs").alias("q", "h")), "bench-shingles")
-    in_items = places.groupBy("h").agg(F.countDistinct("item_id").alias("in_items"))
+def item_tables(bench: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of the items: names (item, item_id), weights (h, w), shingles (item, h, n, w) and anchors (item, q, h, m).
+
+    An item is a distinct pair of id and text.
+    """
+    name = F.concat(F.coalesce(F.concat(F.lit("="), bench[id_col].cast("string")), F.lit("")), F.lit(":"), F.md5(text_of(bench, text_col).cast("binary")))
+    each = bench.select(name.alias("item"), bench[id_col].alias("item_id"), words(text_of(bench, text_col)).alias("ws")).dropDuplicates(["item"])
+    items = each.select("item", "item_id", F.size("ws").alias("m"), hashes(F.col("ws")).alias("hs"))
+    places = written(items.select("item", "item_id", "m", F.posexplode("hs").alias("q", "h")), "bench-shingles")
+    in_items = places.groupBy("h").agg(F.countDistinct("item").alias("in_items"))
     weights = in_items.select("h", F.greatest(F.lit(1), F.lit(TOP_WEIGHT) - F.floor(F.log2("in_items"))).cast("long").alias("w"), "in_items")
     weighed = places.join(weights, "h")
-    shingles = weighed.groupBy("item_id", "h").agg(F.count("*").alias("n"), F.first("w").alias("w"))
-    rarest = Window.partitionBy("item_id").orderBy("in_items", "q").rowsBetween(Window.unboundedPreceding, -1)
-    whole = F.sum("w").over(Window.partitionBy("item_id"))
+    shingles = weighed.groupBy("item", "h").agg(F.count("*").alias("n"), F.first("w").alias("w"))
+    rarest = Window.partitionBy("item").orderBy("in_items", "q").rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.sum("w").over(Window.partitionBy("item"))
     anchors = weighed.withColumn("before", F.coalesce(F.sum("w").over(rarest), F.lit(0))).withColumn("whole", whole).filter(F.col("before") <= F.col("whole") * (1 - SIMILARITY))
-    return weights.select("h", "w"), shingles, written(anchors.select("item_id", "q", "h", "m"), "bench-anchors")
+    return places.select("item", "item_id").distinct(), weights.select("h", "w"), shingles, written(anchors.select("item", "q", "h", "m"), "bench-anchors")
 
 
 def counters(weight: Column) -> list[Column]:
@@ -89,32 +94,33 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
 
     Words are runs of letters and digits, lower-cased. Texts and items of fewer than five words (null and
     empty ones too) have no shingles and match nothing; a text shorter than an item is one window. Repeated
-    rows give one row. Every shingle of every text is looked up; no text moves.
+    rows give one row, and so do repeated rows of the benchmark; texts that share an item_id are items of their
+    own, with a row each, and a null item_id is an id like any other. Every shingle of every text is looked up; no text moves.
     """
-    weights, shingles, anchors = item_tables(bench, item_id, item_text)
+    names, weights, shingles, anchors = item_tables(bench, item_id, item_text)
     wanted = [r["h"] for r in anchors.select("h").distinct().orderBy("h").collect()]  # as large as a fifth of the benchmark
     hashed = docs.select(row_key(docs, id_col, text_col).alias("key"), docs[id_col].alias("doc_id"), words(text_of(docs, text_col)).alias("ws")).select("key", "doc_id", F.size("ws").alias("n"), hashes(F.col("ws")).alias("hs"))
     passes = [hashed.filter(F.expr(f"exists(hs, h -> h in ({','.join(f'{h}L' if h > -(1 << 63) else '(-9223372036854775807L - 1L)' for h in wanted[at : at + ANCHORS])}))")) for at in range(0, len(wanted), ANCHORS)]
     found = (reduce(DataFrame.unionByName, passes) if passes else hashed.filter("false")).dropDuplicates(["key"])
     found = written(found, "decontamination-found")
-    return _verified(found, weights, shingles, anchors)
+    return _verified(found, weights, shingles, anchors).join(names, "item").select("key", "doc_id", "item_id", "start", "similarity")
 
 
 def _windows(found: DataFrame, weights: DataFrame, shingles: DataFrame, anchors: DataFrame, wholes: DataFrame) -> DataFrame:
-    """key, item_id, start, len of each window, at every place, that may be similar enough to an item of which the record has an anchor.
+    """key, item, start, len of each window, at every place, that may be similar enough to an item of which the record has an anchor.
 
     Each place's shingle adds its weight to `own`, and to `held` if the item has it; `held` of a window, at most
     the item's whole weight, is at least what they share.
     """
     places = written(found.select("key", "n", F.posexplode("hs").alias("p", "h")), "decontamination-places")
-    pairs = places.join(anchors, "h").select("key", "item_id", "m").distinct()
+    pairs = places.join(anchors, "h").select("key", "item", "m").distinct()
     weighed = places.join(weights, "h", "left").select("key", "n", "p", "h", F.coalesce("w", F.lit(TOP_WEIGHT)).alias("w"))
     held = F.when(F.col("has"), F.col("w")).otherwise(F.lit(0))
-    each = weighed.join(pairs, "key").join(shingles.select("item_id", "h", F.lit(True).alias("has")), ["item_id", "h"], "left").withColumn("v", held)
-    upto = Window.partitionBy("key", "item_id").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-    sums = each.select("key", "item_id", "n", "m", "p", F.sum("w").over(upto).alias("own"), F.sum("v").over(upto).alias("held"))
-    sums = sums.groupBy("key", "item_id", "n", "m").agg(F.sort_array(F.collect_list(F.struct("p", "own", "held"))).alias("s"), F.max("held").alias("most"))
-    sums = sums.join(wholes, "item_id").filter(F.col("most") >= SIMILARITY * F.col("whole")).withColumn("len", F.least("m", "n") - (SHINGLE - 1))
+    each = weighed.join(pairs, "key").join(shingles.select("item", "h", F.lit(True).alias("has")), ["item", "h"], "left").withColumn("v", held)
+    upto = Window.partitionBy("key", "item").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    sums = each.select("key", "item", "n", "m", "p", F.sum("w").over(upto).alias("own"), F.sum("v").over(upto).alias("held"))
+    sums = sums.groupBy("key", "item", "n", "m").agg(F.sort_array(F.collect_list(F.struct("p", "own", "held"))).alias("s"), F.max("held").alias("most"))
+    sums = sums.join(wholes, "item").filter(F.col("most") >= SIMILARITY * F.col("whole")).withColumn("len", F.least("m", "n") - (SHINGLE - 1))
     before = lambda at, c: F.when(at == 0, F.lit(0)).otherwise(F.get("s", at - 1)[c])
     within = lambda at, c: F.get("s", at + F.col("len") - 1)[c] - before(at, c)
 
@@ -122,26 +128,26 @@ def _windows(found: DataFrame, weights: DataFrame, shingles: DataFrame, anchors:
         both = F.least(within(at, "held"), F.col("whole"))
         return both / (within(at, "own") + F.col("whole") - both) >= SIMILARITY
 
-    return sums.select("key", "item_id", F.explode(F.filter(F.sequence(F.lit(0), F.size("s") - F.col("len")), able)).alias("start"), "len")
+    return sums.select("key", "item", F.explode(F.filter(F.sequence(F.lit(0), F.size("s") - F.col("len")), able)).alias("start"), "len")
 
 
 def _verified(found: DataFrame, weights: DataFrame, shingles: DataFrame, anchors: DataFrame) -> DataFrame:
-    items = shingles.groupBy("item_id").agg(F.sum(F.col("w") * F.col("n")).alias("whole"), *counters(F.col("w") * F.col("n")))
-    items = items.select("item_id", "whole", fingerprint(F.col("whole")).alias("item_fp"))
-    windows = _windows(found, weights, shingles, anchors, items.select("item_id", "whole"))
-    inside = windows.join(found.select("key", "doc_id", "hs"), "key").select("key", "doc_id", "item_id", "start", F.explode(F.slice("hs", F.col("start") + 1, F.col("len"))).alias("h"))
-    counted = inside.groupBy("key", "doc_id", "item_id", "start", "h").agg(F.count("*").alias("c"))
-    joined = counted.join(weights, "h", "left").join(shingles.select("item_id", "h", "n"), ["item_id", "h"], "left").withColumn("w", F.coalesce("w", F.lit(TOP_WEIGHT)))
+    items = shingles.groupBy("item").agg(F.sum(F.col("w") * F.col("n")).alias("whole"), *counters(F.col("w") * F.col("n")))
+    items = items.select("item", "whole", fingerprint(F.col("whole")).alias("item_fp"))
+    windows = _windows(found, weights, shingles, anchors, items.select("item", "whole"))
+    inside = windows.join(found.select("key", "doc_id", "hs"), "key").select("key", "doc_id", "item", "start", F.explode(F.slice("hs", F.col("start") + 1, F.col("len"))).alias("h"))
+    counted = inside.groupBy("key", "doc_id", "item", "start", "h").agg(F.count("*").alias("c"))
+    joined = counted.join(weights, "h", "left").join(shingles.select("item", "h", "n"), ["item", "h"], "left").withColumn("w", F.coalesce("w", F.lit(TOP_WEIGHT)))
     both = F.sum(F.col("w") * F.least("c", F.coalesce("n", F.lit(0)))).alias("both")
-    scored = joined.groupBy("key", "doc_id", "item_id", "start").agg(both, F.sum(F.col("w") * F.col("c")).alias("own"), *counters(F.col("w") * F.col("c")))
-    scored = scored.select("key", "doc_id", "item_id", "start", "both", "own", fingerprint(F.col("own")).alias("fp"))
+    scored = joined.groupBy("key", "doc_id", "item", "start").agg(both, F.sum(F.col("w") * F.col("c")).alias("own"), *counters(F.col("w") * F.col("c")))
+    scored = scored.select("key", "doc_id", "item", "start", "both", "own", fingerprint(F.col("own")).alias("fp"))
     near = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << BLOCK_BITS) - 1).cast("long")), lambda v: F.bit_count(v.bitwiseXOR(F.col("b.value"))) <= BLOCK_RADIUS)
-    listed = items.select("item_id", "whole", "item_fp", F.explode(blocks(F.col("item_fp"))).alias("b")).select("item_id", "whole", "item_fp", F.col("b.block").alias("block"), F.explode(near).alias("value"))
+    listed = items.select("item", "whole", "item_fp", F.explode(blocks(F.col("item_fp"))).alias("b")).select("item", "whole", "item_fp", F.col("b.block").alias("block"), F.explode(near).alias("value"))
     probes = scored.withColumn("b", F.explode(blocks(F.col("fp")))).select(*scored.columns, F.col("b.block").alias("block"), F.col("b.value").alias("value"))
-    close = probes.join(listed, ["item_id", "block", "value"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+    close = probes.join(listed, ["item", "block", "value"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
     sure = close.withColumn("similarity", F.col("both") / (F.col("own") + F.col("whole") - F.col("both"))).filter(F.col("similarity") >= SIMILARITY)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best")
-    return sure.groupBy("key", "doc_id", "item_id").agg(best).select("key", "doc_id", "item_id", (-F.col("best.back")).cast("long").alias("start"), F.round("best.similarity", 6).alias("similarity"))
+    return sure.groupBy("key", "doc_id", "item").agg(best).select("key", "doc_id", "item", (-F.col("best.back")).cast("long").alias("start"), F.round("best.similarity", 6).alias("similarity"))
 
 
 def decontaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
