@@ -155,3 +155,23 @@ def test_near_copies_under_an_unlike_hub(spark):
     docs = [(1, a), (2, c), *enumerate(hubs, 3)]
     kept = one_of_each(spark.createDataFrame(docs, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5]
+
+
+def test_long_texts_near_the_threshold(spark):
+    """Pairs of long texts on one side of 0.8 whose sketches are on the other; the same words, so the same fingerprints."""
+    rnd = random.Random(13)
+    docs = []
+    for name, swaps in (("p", 55), ("q", 56)):
+        words = [f"{name}{k}" for k in range(3000)]
+        while True:
+            other = list(words)
+            for k in rnd.sample(range(10, 2980, 10), swaps):
+                other[k], other[k + 1] = other[k + 1], other[k]
+            a, b = " ".join(words), " ".join(other)
+            true, told = jaccard(shingle_set(a), shingle_set(b)), similarity(sketch(a)[1], sketch(b)[1])
+            if (true >= 0.8) != (told >= 0.8):
+                break
+        assert (true >= 0.8) == (name == "p")
+        docs += [a, b]
+    kept = one_of_each(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]

@@ -32,6 +32,8 @@ GENERATOR = 0b110001110101
 SEGMENTS = ((41, 23), (18, 23), (0, 18))
 #: similar_groups: words of a shingle, least Jaccard similarity, fingerprints of a text, shingle hashes kept for verification.
 SIMILAR_SHINGLE, SIMILARITY, PRINTS, SKETCH = 5, 0.8, 8, 512
+#: Pairs of larger texts whose kept hashes agree less are no links. That a pair of SIMILARITY does has a chance under 1e-22.
+CLEAR_MISS = 0.6
 
 
 def golay_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -191,11 +193,35 @@ def sketch(text: str) -> tuple[list[int], np.ndarray]:
         mixed ^= mixed >> np.uint64(31)
         mixed *= np.uint64(0x94D049BB133111EB)
         prints.append(_bits(mixed ^ mixed >> np.uint64(29)))
-    join, n = b" ".join, SIMILAR_SHINGLE
-    shingles = set(map(join, zip(*(words[i:] for i in range(n)), strict=False))) or {join(words)}
+    shingles = shingles_of(words)
     return prints, np.unique(np.fromiter((xxh64_intdigest(x, SEED) >> 32 for x in shingles), "<u4", len(shingles)))[:SKETCH]
 
 
+def shingles_of(words: list[bytes]) -> set[bytes]:
+    join, n = b" ".join, SIMILAR_SHINGLE
+    return set(map(join, zip(*(words[i:] for i in range(n)), strict=False))) or {join(words)}
+
+
+def _full(batches):
+    """(text_hash, shingles): the hashes (64 bits) of all distinct shingles of each text."""
+    from xxhash import xxh64_intdigest
+
+    for b in few_rows(batches, 200):
+        sets = (shingles_of(t.encode("utf-8", "surrogatepass").lower().split()) for t in b.column("text").to_pylist())
+        made = [np.unique(np.fromiter((xxh64_intdigest(x, SEED) for x in s), "<u8", len(s))).tobytes() for s in sets]
+        yield pa.RecordBatch.from_arrays([b.column("text_hash"), pa.array(made, pa.binary())], names=["text_hash", "shingles"])
+
+
+def _alike(batches):
+    """The pairs whose full sets are similar enough."""
+    for b in few_rows(batches, 200):
+        sure = []
+        for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+            shared = len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
+            sure.append(shared >= SIMILARITY * ((len(x) + len(y)) // 8 - shared))
+        yield b.select(["a", "b"]).filter(pa.array(sure, pa.bool_()))
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of the shingles: exact for up to SKETCH of them, else from the least SKETCH of both together."""
     if not len(a) or not len(b):
@@ -251,19 +277,32 @@ def _apart(shared: DataFrame, label: DataFrame) -> DataFrame:
     return written(rooted.join(other, meet).select(F.col("node").alias("a"), "b").distinct(), "simhash-pairs")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose shingles are similar enough."""
-    meant = pairs.select(F.col("a").alias("text_hash")).unionByName(pairs.select(F.col("b").alias("text_hash"))).distinct()
-    sets = written(docs.join(meant.hint("merge"), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("shingles").alias("shingles")), "simhash-sets")
-    of = lambda n, s: sets.select(F.col("text_hash").alias(n), F.col("shingles").alias(s)).hint("merge")
-    both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")
-    return written(both.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"), "simhash-similar")
+def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose shingles are similar enough. texts: text_hash, text; read only for pairs that sketches leave in doubt."""
+    nodes = lambda p: p.select(F.col("a").alias("text_hash")).unionByName(p.select(F.col("b").alias("text_hash"))).distinct().hint("merge")
+    sets = written(docs.join(nodes(pairs), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("shingles").alias("shingles")), "simhash-sets")
+    of = lambda t, n, s: t.select(F.col("text_hash").alias(n), F.col("shingles").alias(s)).hint("merge")
+    both = lambda p, t: p.join(of(t, "a", "x"), "a").join(of(t, "b", "y"), "b").select("a", "b", "x", "y")
+    judged = written(both(pairs, sets).mapInArrow(_similar, "a long, b long, doubt boolean"), "simhash-similar")
+    sure, doubt = judged.filter("not doubt").select("a", "b"), judged.filter("doubt").select("a", "b")
+    if doubt.isEmpty():
+        return sure
+    # a text in doubt has SIMILARITY * SKETCH shingles or more, so at least twice as many characters
+    large = texts.filter(F.length("text") >= int(2 * SIMILARITY * SKETCH)).groupBy("text_hash").agg(F.first("text").alias("text"))
+    full = written(large.join(nodes(doubt), "text_hash", "left_semi").mapInArrow(_full, "text_hash long, shingles binary"), "simhash-full")
+    return sure.unionByName(written(both(doubt, full).mapInArrow(_alike, "a long, b long"), "simhash-alike"))
 
 
 def _similar(batches):
+    """(a, b, doubt): the pairs that are links, and those that only their full sets tell, which sketches cut short don't."""
     for b in few_rows(batches):
-        sure = [similarity(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) >= SIMILARITY for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
-        yield b.select(["a", "b"]).filter(pa.array(sure, pa.bool_()))
+        keep, doubt = [], []
+        for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+            x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+            cut, score = SKETCH in (len(x), len(y)), similarity(x, y)
+            doubt.append(cut)
+            keep.append(score >= CLEAR_MISS and min(len(x), len(y)) >= SIMILARITY * SKETCH if cut else score >= SIMILARITY)
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(doubt, pa.bool_())], names=["a", "b", "doubt"]).filter(pa.array(keep, pa.bool_()))
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,18 +315,19 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     no fingerprint of it comes within about two bits (one in six at 0.8, one in a hundred at 0.9) and no third
     text links it. Nulls and ties as in near_duplicates.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(df, text_col).alias("text_hash"), text_of(df, text_col).alias("text"))
-    docs = written(docs.mapInArrow(_sketches, "doc_id long, text_hash long, prints array<long>, shingles binary"), "simhash-sketches")
+    source = df.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(df, text_col).alias("text_hash"), text_of(df, text_col).alias("text"))
+    bodies = source.select("text_hash", "text")
+    docs = written(source.mapInArrow(_sketches, "doc_id long, text_hash long, prints array<long>, shingles binary"), "simhash-sketches")
     ids = docs.groupBy("text_hash").agg(F.min("doc_id").alias("least"))
     tag = lambda c: F.shiftright(c, 32).cast("int").alias("tag")
     texts = docs.select(F.col("text_hash").alias("node"), tag("text_hash"), "prints")
     ahead = _shared(texts, range(1))
-    first = _verified(_likely(ahead), docs)
+    first = _verified(_likely(ahead), docs, bodies)
     label = components(first).withColumnRenamed("node", "text_hash")
     texts = docs.join(label.hint("merge"), "text_hash", "left").select(F.col("text_hash").alias("node"), tag(F.coalesce("root", "text_hash")), "prints")
     others = _shared(texts, range(1, PRINTS))
-    more = first.unionByName(_verified(_likely(others), docs))
-    rest = _verified(_apart(ahead.unionByName(others), components(more)), docs)
+    more = first.unionByName(_verified(_likely(others), docs, bodies))
+    rest = _verified(_apart(ahead.unionByName(others), components(more)), docs, bodies)
     label = components(more.unionByName(rest)).withColumnRenamed("node", "text_hash")
     rooted = written(ids.join(label, "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash")), "simhash-roots")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
