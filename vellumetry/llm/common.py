@@ -8,15 +8,22 @@ import tempfile
 import types
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests, one machine) a local one, which is then set."""
+    """The folder in spark.checkpoint.dir; where it is unset on one machine (tests) a local one, which is then set.
+
+    A cluster's machines share no local folder, so there the setting must be there.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "vellumetry-shared")
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(root)
@@ -27,12 +34,54 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/vellumetry/{name}-{uuid.uuid4().hex}"
 
 
+_MADE: ContextVar[list[str] | None] = ContextVar("written tables", default=None)
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The paths of the tables that `written` makes meanwhile, in this thread."""
+    token = _MADE.set(paths := [])
+    try:
+        yield paths
+    finally:
+        _MADE.reset(token)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if (paths := _MADE.get()) is not None:
+        paths.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def done_with(*tables: DataFrame) -> None:
+    """Deletes tables made by `written`: all that was made of them is written itself."""
+    for t in tables:
+        removed(t.sparkSession, [t.written_to])
+
+
+def labelled(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of labels, which has one row per key and `n`, how many of the rows have it.
+
+    A key that more than a hundred-thousandth of all rows have would be one task's work in a sort-merge join, so
+    such keys' labels are broadcast: there cannot be more than a hundred thousand of them.
+    """
+    many = max(10_000, (labels.agg(F.sum("n")).head()[0] or 0) // 100_000)
+    hot, rest = labels.filter(F.col("n") > many).drop("n"), labels.filter(F.col("n") <= many).drop("n")
+    out = rows.join(rest.hint("merge"), key)
+    return out if hot.isEmpty() else out.unionByName(rows.join(F.broadcast(hot), key))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

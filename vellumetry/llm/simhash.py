@@ -1,22 +1,25 @@
 """Near-duplicates by SimHash fingerprints, searched with Golay codes.
 
-A fingerprint's 64 bits are cut into segments of 23, 23 and 18 bits. The binary
-Golay code is perfect: each 23-bit word has one code word within 3 bits, whose
-12-bit index stands for it. A fingerprint gets the index triples of itself and of
-all 64 words one bit away, in which few differ. Two fingerprints two or fewer
-bits apart have a word within one bit of both; however the errors fall on the
-segments, they share that word's triple. Fingerprints that share a triple are
-verified through the words themselves: two of them link exactly if they share a
-word within one bit of both, so a bucket needs no pairs.
-
-That finds texts a few words apart. similar_groups finds all that share most of their
-five-word shingles: each text has several independent fingerprints of its distinct
-words, which differ little even then; texts that share a triple are verified by their
-shingles, first with the least text of a bucket, then with all that this did not join.
+The binary Golay code is perfect: each 23-bit word has one code word within 3 bits,
+whose 12-bit index stands for it. A fingerprint is cut into segments of at most 23
+bits. A segment's near indices are those of itself and of all words one bit away, about
+five; two segments one bit apart have the index of each among the near ones of the other.
+
+near_duplicates links fingerprints of 64 bits that differ in RADIUS (two) bits or fewer.
+They have three segments, so by the pigeonhole principle there is a segment without an
+error followed, in a circle, by one with at most one. Keys therefore pair each
+segment with the near indices of the next; fingerprints that share a key are verified.
+
+similar_groups links texts whose five-word shingles are SIMILARITY alike or more. Each
+text has long fingerprints of its distinct words, GROUPS groups of three segments. A key
+is a group's three indices, or one near index and the other two. Texts that share a key
+and have fingerprints within NEAR bits come together in a loose group, whose texts are
+then compared by all their shingles.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -24,16 +27,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import few_rows, text_of, unused_name, worker_state, written
+from .common import done_with, few_rows, labelled, text_of, unused_name, worker_state, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: The generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
-SEGMENTS = ((41, 23), (18, 23), (0, 18))
-#: similar_groups: words of a shingle, least Jaccard similarity, fingerprints of a text, shingle hashes kept for verification.
-SIMILAR_SHINGLE, SIMILARITY, PRINTS, SKETCH = 5, 0.8, 8, 512
-#: Pairs of larger texts whose kept hashes agree less are no links. That a pair of SIMILARITY does has a chance under 1e-22.
-CLEAR_MISS = 0.6
+WIDTH = 23
+#: near_duplicates: the segments' lowest bits and widths; fingerprints of a key that are compared pair by pair.
+SEGMENTS, FEW = ((42, 22), (21, 21), (0, 21)), 64
+#: similar_groups: words of a shingle, least Jaccard similarity, words of 64 bits and groups of three segments of a text's fingerprint, differing bits of texts that come together.
+SIMILAR_SHINGLE, SIMILARITY, PRINTS, GROUPS, NEAR = 5, 0.8, 9, 8, 80
+#: Bytes of shingle hashes that one task compares with others at a time.
+BLOCK = 4 << 20
+#: Rows of a table of groups (16 bytes each) that may be broadcast.
+FEW_GROUPS = 500_000
 
 
 def golay_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +54,7 @@ def golay_tables() -> tuple[np.ndarray, np.ndarray]:
         high[m] = r
     leader = np.zeros(2048, np.int64)
     for weight in (1, 2, 3):
-        for bits in combinations(range(23), weight):
+        for bits in combinations(range(WIDTH), weight):
             e = sum(1 << b for b in bits)
             leader[high[e >> 11] ^ e & 2047] = e
     return high, leader
@@ -59,17 +66,37 @@ def golay_index(words: np.ndarray) -> np.ndarray:
     return (words ^ leader[high[words >> 11] ^ words & 2047]) >> 11
 
 
-def neighbours(fp: np.ndarray) -> np.ndarray:
-    """Each fingerprint and the 64 words one bit away, 65 columns."""
-    flips = np.concatenate([[0], np.left_shift(np.uint64(1), np.arange(64, dtype=np.uint64))]).astype(np.uint64)
-    return fp.view(np.uint64)[:, None] ^ flips[None, :]
+def near_indices(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """In a new last axis, each word's own index and those of the words one of its `width` bits away."""
+    return golay_index(words[..., None] ^ np.append(0, 1 << np.arange(width, dtype=np.int64)))
 
 
-def triples(words: np.ndarray) -> np.ndarray:
-    key = np.zeros(words.shape, np.int64)
-    for low, width in SEGMENTS:
-        key = key << 12 | golay_index((words >> np.uint64(low)).astype(np.int64) & (1 << width) - 1)
-    return key
+def each_once(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of each row, one row after another, and how many each row has."""
+    keys = np.sort(keys, axis=1)
+    new = np.concatenate([np.ones((len(keys), 1), bool), keys[:, 1:] != keys[:, :-1]], axis=1)
+    return keys[new], new.sum(axis=1)
+
+
+def segment_keys(fp: np.ndarray) -> np.ndarray:
+    """The keys of 64-bit fingerprints: segment, its bits, a near index of the next segment."""
+    parts = [(fp.view(np.uint64) >> np.uint64(low)).astype(np.int64) & (1 << width) - 1 for low, width in SEGMENTS]
+    made = []
+    for i, (_, width) in enumerate(SEGMENTS):
+        j = (i + 1) % len(SEGMENTS)
+        made.append((i << 40 | parts[i] << 12)[:, None] | near_indices(parts[j], SEGMENTS[j][1]))
+    return np.concatenate(made, axis=1)
+
+
+def group_keys(prints: np.ndarray) -> np.ndarray:
+    """The keys of long fingerprints (rows of PRINTS words): group, its three indices, at most one of them a near one."""
+    bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
+    words = bits[:, : GROUPS * 3 * WIDTH].reshape(-1, GROUPS, 3, WIDTH) @ (1 << np.arange(WIDTH, dtype=np.int64))
+    near, made = near_indices(words), []
+    for s, low in enumerate((24, 12, 0)):
+        rest = sum(near[:, :, o, 0] << (24, 12, 0)[o] for o in range(3) if o != s)
+        made.append((rest + (np.arange(GROUPS, dtype=np.int64) << 36))[:, :, None] + (near[:, :, s] << low))
+    return np.concatenate(made, axis=2).reshape(len(prints), -1)
 
 
 def fingerprint(text: str) -> int:
@@ -85,81 +112,95 @@ def fingerprint(text: str) -> int:
     return _bits(np.array([xxh64_intdigest(join(s), SEED) for s in zip(words, words[1:], words[2:], strict=False)], np.uint64)) & (1 << 64) - 1
 
 
+def _bits(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
+    by_value = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + np.arange(0, 2048, 256, dtype=np.int64)).ravel(), minlength=2048).reshape(8, 256)
+    ones = by_value @ worker_state("byte-bits", lambda: np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64))
+    return int(np.packbits((2 * ones > len(hashes)).ravel(), bitorder="little").view(np.int64)[0])
+
+
 def _fingerprints(batches):
     for b in few_rows(batches):
         fp = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fp)], names=["doc_id", "text_hash", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, fp of each record."""
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(df, text_col).alias("text_hash"), text_of(df, text_col).alias("text"))
-    return docs.mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long")
-
+    """doc_id, fp of each record."""
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(df, text_col).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
-def text_hash(df: DataFrame, text_col: str) -> Column:
-    """Tells apart the texts of records that share an id."""
-    return F.xxhash64(text_of(df, text_col))
 
-
-def _keys(batches):
-    """(key, fp): the distinct triples of each fingerprint."""
+def _segment_keys(batches):
+    """(key, fp): the keys of each fingerprint."""
     for b in few_rows(batches, 20_000):
         fp = b.column("fp").to_numpy(zero_copy_only=False)
-        keys = np.sort(triples(neighbours(fp)), axis=1)
-        new = np.concatenate([np.ones((len(keys), 1), bool), keys[:, 1:] != keys[:, :-1]], axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[new]), pa.array(np.repeat(fp, new.sum(axis=1)))], names=["key", "fp"])
+        keys, each = each_once(segment_keys(fp))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(fp, each))], names=["key", "fp"])
 
 
 def _words(batches):
+    """(key, word, fp): each fingerprint's own word and those one bit away."""
+    flips = np.append(np.uint64(0), np.left_shift(np.uint64(1), np.arange(64, dtype=np.uint64)))
     for b in few_rows(batches, 20_000):
-        fp = b.column("fp").to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([pa.array(neighbours(fp).view(np.int64).ravel()), pa.array(np.repeat(fp, 65))], names=["word", "fp"])
+        key, fp = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp"))
+        words = (fp.view(np.uint64)[:, None] ^ flips).view(np.int64).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, 65)), pa.array(words), pa.array(np.repeat(fp, 65))], names=["key", "word", "fp"])
 
 
 def links(distinct_fps: DataFrame) -> DataFrame:
-    """Edges (a, b), a > b, that join all fingerprints RADIUS or fewer bits apart; not every pair, but the same components."""
-    fps = distinct_fps.select("fp")
-    keys = fps.mapInArrow(_keys, "key long, fp long")
-    shared = keys.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("key")
-    found = written(keys.join(shared, "key", "left_semi").select("fp").distinct(), "simhash-candidates")
-    words = found.mapInArrow(_words, "word long, fp long")
-    hub = F.min("fp").over(Window.partitionBy("word"))  # of at most 65 fingerprints
-    edges = words.withColumn("b", hub).filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
-    return edges.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
-
-
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+    """Edges (a, b), a > b, that join all fingerprints RADIUS or fewer bits apart; not every pair, but the same components.
+
+    The fingerprints of a key are verified pair by pair where they are FEW or fewer. Where they are more, those
+    that share a word within one bit of both, as all RADIUS bits apart do, are verified with the least of them.
+    """
+    keyed = distinct_fps.select("fp").mapInArrow(_segment_keys, "key long, fp long")
+    shared = written(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1"), "simhash-keys")
+    few = shared.filter(F.col("n") <= FEW).groupBy("key").agg(F.collect_list("fp").alias("fps"))
+    few = few.select("fps", F.explode("fps").alias("a")).select("a", F.explode(F.filter("fps", lambda b: (b < F.col("a")) & (F.bit_count(b.bitwiseXOR(F.col("a"))) <= RADIUS))).alias("b"))
+    words = shared.filter(F.col("n") > FEW).select("key", "fp").mapInArrow(_words, "key long, word long, fp long")
+    hub = F.min("fp").over(Window.partitionBy("key", "word"))  # of at most 65 fingerprints
+    many = words.withColumn("b", hub).filter("fp <> b").select(F.col("fp").alias("a"), "b")
+    return few.unionByName(many.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)).distinct()
+
+
+def _tree_roots(parents: DataFrame) -> DataFrame:
+    """(node, root) of a forest given by (node, root), each with a lower node of its tree: nodes take the root of their root until that changes nothing."""
+    def jump(label: DataFrame) -> DataFrame:
+        up = label.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        return label.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.isnotnull("above").alias("moved"))
+
+    label = written(parents, "component-labels")
+    while True:
+        jumped = written(jump(jump(label).drop("moved")), "component-labels")
+        done_with(label)
+        label = jumped
+        if jumped.filter("moved").isEmpty():
+            return jumped
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): each node of the edges with the least node of its component.
 
-    Every round, nodes and their roots take the least root among neighbours, then the root of their root;
-    the labels are written each round, so rounds do not add up lineage. Ends when no label changes.
+    Each node that has a lower neighbour goes to its least one. The trees that this makes become single nodes, the
+    edges between them go on as edges of their roots, until none is left. All is written each round, so rounds do
+    not add up lineage.
     """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "component-edges")
-    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node")
-    for _ in range(limit):
-        labels = written(labels, "component-labels")
-        of_b = labels.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
-        heard = both.join(of_b, "b").groupBy("a").agg(F.min("root_b").alias("heard")).withColumnRenamed("a", "node")
-        told = labels.join(heard, "node").filter("heard < root")
-        if told.isEmpty():
-            return labels
-        lower = told.select("node", "heard").unionByName(told.select(F.col("root").alias("node"), "heard")).groupBy("node").agg(F.min("heard").alias("heard"))
-        hooked = labels.join(lower, "node", "left").select("node", F.least("root", F.coalesce("heard", "root")).alias("root"))
-        roots = hooked.select(F.col("node").alias("root"), F.col("root").alias("root2"))
-        labels = hooked.join(roots, "root").select("node", F.col("root2").alias("root"))
-    raise RuntimeError(f"components did not settle in {limit} rounds")
-
-
-def _grouped(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text_hash, fp, root (the component's least fingerprint), component_id of each record."""
-    docs = written(fingerprints(df, id_col, text_col), "simhash-fingerprints")
-    fps = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    label = components(links(fps))
-    rooted = fps.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = written(rooted, "simhash-roots")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return docs.join(rooted.select("fp", "root").join(least, "root"), "fp")
+    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b"), "component-edges")
+    whole = None
+    while whole is None or not edges.isEmpty():
+        label = _tree_roots(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))).select("node", "root")
+        if whole is None:
+            lowest = edges.select(F.col("b").alias("node")).distinct().join(label, "node", "left_anti")
+            whole = label.unionByName(lowest.withColumn("root", F.col("node")))
+        else:
+            higher = label.select(F.col("node").alias("root"), F.col("root").alias("above"))
+            whole = whole.join(higher, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
+        whole = written(whole, "component-roots")
+        of = lambda n: label.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}"))
+        ra, rb = F.col("root_a"), F.coalesce("root_b", "b")
+        over = edges.join(of("a"), "a").join(of("b"), "b", "left").filter(ra != rb)
+        edges = written(over.select(F.greatest(ra, rb).alias("a"), F.least(ra, rb).alias("b")).distinct(), "component-edges")
+    return whole
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,184 +208,300 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Copies meet by fingerprint before anything moves, so a group of copies costs one row in the search. Null
     and blank texts have fingerprint 0 and link like any other. A null id has no say in component_id; where a
-    component has only null ids, that is null. An empty table gives no rows.
+    component has only null ids, that is null. Very long texts are read whole, one in memory at a time. Ids are
+    cast to long. An empty table gives no rows.
     """
-    return _grouped(df, id_col, text_col).select("doc_id", "fp", "component_id")
-
-
-def _bits(hashes: np.ndarray) -> int:
-    """The bits that more than half of the hashes have."""
-    by_value = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + np.arange(0, 2048, 256, dtype=np.int64)).ravel(), minlength=2048).reshape(8, 256)
-    ones = by_value @ worker_state("byte-bits", lambda: np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64))
-    return int(np.packbits((2 * ones > len(hashes)).ravel(), bitorder="little").view(np.int64)[0])
+    docs = written(fingerprints(df, id_col, text_col), "simhash-fingerprints")
+    fps = written(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
+    rooted = fps.join(components(links(fps)).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = written(rooted, "simhash-roots")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    found = labelled(rooted.withColumnRenamed("n", "copies"), least, "root")
+    return labelled(docs, found.select("fp", F.col("copies").alias("n"), "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def sketch(text: str) -> tuple[list[int], np.ndarray]:
-    """PRINTS fingerprints of the distinct words, and the SKETCH least of the distinct shingles' hashes (32 bits)."""
+def prints_of(text: str) -> list[int]:
+    """PRINTS words of 64 bits: SimHash of the distinct words under as many hash functions; 0 without words."""
     from xxhash import xxh64_intdigest
 
-    words = text.encode("utf-8", "surrogatepass").lower().split()
+    words = set(text.encode("utf-8", "surrogatepass").lower().split())
     if not words:
-        return [0] * PRINTS, np.zeros(0, "<u4")
-    own = np.array([xxh64_intdigest(w, SEED) for w in set(words)], np.uint64)
-    prints = []
+        return [0] * PRINTS
+    own, prints = np.fromiter((xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words)), []
     for k in range(PRINTS):
         mixed = (own + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(31)
         mixed *= np.uint64(0x94D049BB133111EB)
         prints.append(_bits(mixed ^ mixed >> np.uint64(29)))
-    shingles = shingles_of(words)
-    return prints, np.unique(np.fromiter((xxh64_intdigest(x, SEED) >> 32 for x in shingles), "<u4", len(shingles)))[:SKETCH]
-
-
-def shingles_of(words: list[bytes]) -> set[bytes]:
-    join, n = b" ".join, SIMILAR_SHINGLE
-    return set(map(join, zip(*(words[i:] for i in range(n)), strict=False))) or {join(words)}
+    return prints
 
 
-def _full(batches):
-    """(text_hash, shingles): the hashes (64 bits) of all distinct shingles of each text."""
+def shingles_of(text: str) -> np.ndarray:
+    """The hashes of the distinct five-word shingles in order; of fewer words, of them all; none without words."""
     from xxhash import xxh64_intdigest
 
-    for b in few_rows(batches, 200):
-        sets = (shingles_of(t.encode("utf-8", "surrogatepass").lower().split()) for t in b.column("text").to_pylist())
-        made = [np.unique(np.fromiter((xxh64_intdigest(x, SEED) for x in s), "<u8", len(s))).tobytes() for s in sets]
-        yield pa.RecordBatch.from_arrays([b.column("text_hash"), pa.array(made, pa.binary())], names=["text_hash", "shingles"])
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    join, n = b" ".join, SIMILAR_SHINGLE
+    own = set(map(join, zip(*(words[i:] for i in range(n)), strict=False))) or ({join(words)} if words else set())
+    return np.unique(np.fromiter((xxh64_intdigest(s, SEED) for s in own), np.uint64, len(own)))
 
 
-def _alike(batches):
-    """The pairs whose full sets are similar enough."""
-    for b in few_rows(batches, 200):
-        sure = []
-        for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-            shared = len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
-            sure.append(shared >= SIMILARITY * ((len(x) + len(y)) // 8 - shared))
-        yield b.select(["a", "b"]).filter(pa.array(sure, pa.bool_()))
+P = [f"p{k}" for k in range(PRINTS)]
+PRINTS_SCHEMA = ", ".join(f"{p} long" for p in P)
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of the shingles: exact for up to SKETCH of them, else from the least SKETCH of both together."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    either = np.union1d(a, b)
-    if len(a) == SKETCH or len(b) == SKETCH:
-        either = either[:SKETCH]
-    return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), either, assume_unique=True)) / len(either)
+def _prints(batches):
+    """(digest, doc_id, prints); copies within a batch are read once."""
+    for b in few_rows(batches):
+        own = {}
+        for d, t in zip(b.column("digest").to_pylist(), b.column("text").to_pylist(), strict=True):
+            if d not in own:
+                own[d] = prints_of(t)
+        made = np.array([own[d] for d in b.column("digest").to_pylist()], np.int64).reshape(-1, PRINTS)
+        yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("doc_id"), *map(pa.array, np.ascontiguousarray(made.T))], names=["digest", "doc_id", *P])
+
+
+def _group_keys(batches):
+    """(key, node): the keys of each text."""
+    for b in few_rows(batches, 2000):
+        keys, each = each_once(group_keys(np.stack([b.column(p).to_numpy(zero_copy_only=False) for p in P], axis=1)))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(b.column("node").to_numpy(zero_copy_only=False), each))], names=["key", "node"])
+
+
+def _leaders(batches):
+    """(a, b): of the texts of each key (rows sorted by key), each with every leader within twice NEAR bits; a text with no leader within NEAR becomes one."""
+    key, nodes, prints = None, [], np.zeros((0, PRINTS), np.int64)
+    for batch in few_rows(batches, 20_000):
+        rows, made = np.stack([batch.column(p).to_numpy(zero_copy_only=False) for p in P], axis=1), []
+        for k, node, own in zip(batch.column("key").to_pylist(), batch.column("node").to_pylist(), rows, strict=True):
+            if k != key:
+                key, nodes, prints = k, [], np.zeros((0, PRINTS), np.int64)
+            apart = np.bitwise_count((prints ^ own).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            made += [(node, nodes[i]) for i in np.flatnonzero(apart <= 2 * NEAR)]
+            if not (apart <= NEAR).any():
+                nodes.append(node)
+                prints = np.concatenate([prints, own[None]])
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in made], pa.int64()), pa.array([b for _, b in made], pa.int64())], names=["a", "b"])
+
+
+def digest_of(df: DataFrame, text_col: str) -> Column:
+    return F.unhex(F.md5(text_of(df, text_col).cast("binary")))
+
+
+def distinct_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node, digest, doc_id, n, prints of each distinct text: its least id (null if it has none) and how many records have both."""
+    source = df.select(digest_of(df, text_col).alias("digest"), F.col(id_col).cast("long").alias("doc_id"), text_of(df, text_col).alias("text"))
+    made = source.mapInArrow(_prints, f"digest binary, doc_id long, {PRINTS_SCHEMA}")
+    first = [F.first(p).alias(p) for p in P]
+    ids = made.groupBy("digest", "doc_id").agg(F.count("*").alias("n"), *first)
+    texts = ids.groupBy("digest").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "n")).alias("r"), *first)
+    return written(texts.select(F.monotonically_increasing_id().alias("node"), "digest", "r.doc_id", "r.n", *P), "simhash-texts")
+
+
+def loose_groups(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b) edges, and (node, root) of the groups they make: texts that share a key and are within NEAR bits are in one group.
+
+    Each text is compared with the least of a key. Texts within NEAR bits of each other that are not both within
+    NEAR of it are either both within twice NEAR, hence joined by it, or go on together; among those that go on, leaders
+    do the same. So no pairs of a key's texts are made.
+    """
+    keyed = texts.mapInArrow(_group_keys, "key long, node long")
+    keys = written(keyed.withColumn("hub", F.min("node").over(Window.partitionBy("key"))).filter("node <> hub"), "simhash-keys")
+    of = lambda n, mark: texts.select(F.col("node").alias(n), *(F.col(p).alias(p + mark) for p in P)).hint("merge")
+    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(p).bitwiseXOR(F.col(p + "_"))) for p in P))
+    pairs = keys.select("node", "hub").distinct().join(of("hub", "_"), "hub").join(of("node", ""), "node").select("node", "hub", apart.alias("apart"))
+    pairs = written(pairs, "simhash-apart")
+    edges = pairs.filter(F.col("apart") <= 2 * NEAR).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    on = keys.join(pairs.filter(F.col("apart") > NEAR).hint("merge"), ["node", "hub"]).select("key", "node")
+    on = on.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1").select("key", "node")
+    led = on.join(of("node", ""), "node").repartition("key").sortWithinPartitions("key").mapInArrow(_leaders, "a long, b long").distinct()
+    edges = written(edges.unionByName(led), "simhash-edges")
+    done_with(keys, pairs)
+    return edges, components(edges)
 
 
-def _sketches(batches):
-    for b in few_rows(batches):
-        made = [sketch(t) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array([p for p, _ in made], pa.list_(pa.int64())), pa.array([h.tobytes() for _, h in made], pa.binary())], names=["doc_id", "text_hash", "prints", "shingles"])
-
-
-def _print_keys(prints: range):
-    """(key, node, tag): the triples of these fingerprints of a text, told apart by the fingerprint's number."""
-
-    def run(batches):
-        for b in few_rows(batches, 2000):
-            fp = b.column("prints").flatten().to_numpy(zero_copy_only=False).reshape(-1, PRINTS)[:, prints.start : prints.stop].ravel()
-            keys = triples(neighbours(fp)) | np.tile(np.arange(prints.start, prints.stop, dtype=np.int64), b.num_rows)[:, None] << 40
-            keys = np.sort(keys, axis=1)
-            new = np.concatenate([np.ones((len(keys), 1), bool), keys[:, 1:] != keys[:, :-1]], axis=1)
-            each = new.sum(axis=1)
-            node, tag = (np.repeat(np.repeat(b.column(c).to_numpy(zero_copy_only=False), len(prints)), each) for c in ("node", "tag"))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[new]), pa.array(node), pa.array(tag)], names=["key", "node", "tag"])
-
-    return run
-
-
-def _shared(texts: DataFrame, prints: range) -> DataFrame:
-    """(key, node, tag, b, b_tag): the buckets that hold different tags, each member with the least one (b). texts: node, tag, prints."""
-    keys = texts.mapInArrow(_print_keys(prints), "key long, node long, tag int")
-    hubs = keys.groupBy("key").agg(F.min("node").alias("b"), F.min_by("tag", "node").alias("b_tag"), F.min("tag").alias("lo"), F.max("tag").alias("hi")).filter("lo <> hi")
-    hubs = hubs.select(F.col("key").alias("b_key"), "b", "b_tag").hint("merge")
-    return written(keys.join(hubs, F.col("key") == F.col("b_key")).select("key", "node", "tag", "b", "b_tag"), "simhash-buckets")
-
-
-def _likely(shared: DataFrame) -> DataFrame:
-    """Pairs (a, b): of each bucket, each text with the least one, where their tags differ."""
-    return written(shared.filter("tag <> b_tag").select(F.col("node").alias("a"), "b").distinct(), "simhash-pairs")
-
-
-def _apart(shared: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs (a, b), a > b: all that share a bucket and are in different components. label: node, root."""
-    rooted = shared.join(label.hint("merge"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    rooted = written(rooted.join(open_keys.hint("merge"), "key", "left_semi"), "simhash-apart")
-    other = rooted.select(F.col("key").alias("b_key"), F.col("node").alias("b"), F.col("root").alias("b_root")).hint("merge")
-    meet = (F.col("key") == F.col("b_key")) & (F.col("node") > F.col("b")) & (F.col("root") != F.col("b_root"))
-    return written(rooted.join(other, meet).select(F.col("node").alias("a"), "b").distinct(), "simhash-pairs")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose shingles are similar enough. texts: text_hash, text; read only for pairs that sketches leave in doubt."""
-    nodes = lambda p: p.select(F.col("a").alias("text_hash")).unionByName(p.select(F.col("b").alias("text_hash"))).distinct().hint("merge")
-    sets = written(docs.join(nodes(pairs), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("shingles").alias("shingles")), "simhash-sets")
-    of = lambda t, n, s: t.select(F.col("text_hash").alias(n), F.col("shingles").alias(s)).hint("merge")
-    both = lambda p, t: p.join(of(t, "a", "x"), "a").join(of(t, "b", "y"), "b").select("a", "b", "x", "y")
-    judged = written(both(pairs, sets).mapInArrow(_similar, "a long, b long, doubt boolean"), "simhash-similar")
-    sure, doubt = judged.filter("not doubt").select("a", "b"), judged.filter("doubt").select("a", "b")
-    if doubt.isEmpty():
-        return sure
-    # a text in doubt has SIMILARITY * SKETCH shingles or more, so at least twice as many characters
-    large = texts.filter(F.length("text") >= int(2 * SIMILARITY * SKETCH)).groupBy("text_hash").agg(F.first("text").alias("text"))
-    full = written(large.join(nodes(doubt), "text_hash", "left_semi").mapInArrow(_full, "text_hash long, shingles binary"), "simhash-full")
-    return sure.unionByName(written(both(doubt, full).mapInArrow(_alike, "a long, b long"), "simhash-alike"))
-
-
-def _similar(batches):
-    """(a, b, doubt): the pairs that are links, and those that only their full sets tell, which sketches cut short don't."""
-    for b in few_rows(batches):
-        keep, doubt = [], []
-        for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-            cut, score = SKETCH in (len(x), len(y)), similarity(x, y)
-            doubt.append(cut)
-            keep.append(score >= CLEAR_MISS and min(len(x), len(y)) >= SIMILARITY * SKETCH if cut else score >= SIMILARITY)
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(doubt, pa.bool_())], names=["a", "b", "doubt"]).filter(pa.array(keep, pa.bool_()))
+def _full(batches):
+    """(node, root, size, shingles); a record that repeats the one before is left out."""
+    last = None
+    for b in few_rows(batches, 200):
+        keep, made = [], []
+        for at, (node, text) in enumerate(zip(b.column("node").to_pylist(), b.column("text").to_pylist(), strict=True)):
+            if node != last:
+                keep.append(at)
+                made.append(shingles_of(text).tobytes())
+            last = node
+        b = b.take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column("node"), b.column("root"), pa.array([len(m) + 64 for m in made], pa.int64()), pa.array(made, pa.binary())], names=["node", "root", "size", "shingles"])
+
+
+class Block:
+    """Sets of one block, looked up by their members."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        every = np.concatenate([np.zeros(0, np.uint64), *sets])
+        by = np.argsort(every, kind="stable")
+        self.values, start, each = np.unique(every[by], return_index=True, return_counts=True)
+        self.start, self.each, self.owner, self.sizes = start, each, owner[by], np.array([len(s) for s in sets])
+
+    def alike(self, own: np.ndarray) -> np.ndarray:
+        """Places of the sets that are SIMILARITY or more like own; all empty ones of an empty one."""
+        if not len(own) or not len(self.values):
+            return np.flatnonzero(self.sizes == 0) if not len(own) else np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.values, own), len(self.values) - 1)
+        at = at[self.values[at] == own]
+        each = self.each[at]
+        places = np.arange(each.sum()) + np.repeat(self.start[at] - (np.cumsum(each) - each), each)
+        shared = np.bincount(self.owner[places], minlength=len(self.sizes))
+        return np.flatnonzero((shared > 0) & (shared >= SIMILARITY * (self.sizes + len(own) - shared)))
+
+
+def _linked(batches):
+    """(a, b): links that join all texts of a group that are alike and not joined yet (strict).
+
+    Rows are sorted by group, part and other, asked ones first: those make the block that all are held against.
+    """
+
+    def fresh(group):
+        return {"group": group, "nodes": [], "sets": [], "strict": [], "block": None, "root": {}, "seen": set()}
+
+    def find(root, x):
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    def compare(state, node, own, strict, upto=None):
+        found = []
+        for at in state["block"].alike(own):
+            if upto is None or at < upto:
+                a, b = find(state["root"], strict), find(state["root"], state["strict"][at])
+                if a != b:
+                    state["root"][a] = b
+                    found.append((node, state["nodes"][at]))
+        return found
+
+    def closed(state):
+        """The block is complete: its texts are held against each other."""
+        if state["block"] is not None:
+            return []
+        state["block"] = Block(state["sets"])
+        rows = zip(state["nodes"], state["sets"], state["strict"], strict=True)
+        found = [x for at, (n, s, r) in enumerate(rows) for x in compare(state, n, s, r, at)]
+        state["sets"] = None
+        return found
+
+    def out(found):
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], names=["a", "b"])
+
+    state = None
+    for batch in few_rows(batches, 500):
+        found = []
+        columns = (batch.column(c).to_pylist() for c in ("group", "part", "other", "asked", "node", "strict", "shingles"))
+        for group, part, other, asked, node, strict, raw in zip(*columns, strict=True):
+            if state is None or state["group"] != (group, part, other):
+                found += closed(state) if state else []
+                state = fresh((group, part, other))
+            if (asked, node) in state["seen"]:
+                continue
+            own = np.frombuffer(raw, np.uint64)
+            if asked:
+                state["seen"].add((asked, node))
+                state["nodes"].append(node)
+                state["sets"].append(own)
+                state["strict"].append(strict)
+            else:
+                found += closed(state)
+                found += compare(state, node, own, strict)
+        yield out(found)
+    if state:
+        yield out(closed(state))
+
+
+COMPARED = ("group", "part", "other", "asked", "node", "strict", "shingles")
+
+
+def _compared(rows: DataFrame) -> DataFrame:
+    dealt = rows.select(*COMPARED).repartition("group", "part", "other").sortWithinPartitions("group", "part", "other", F.desc("asked"))
+    return dealt.mapInArrow(_linked, "a long, b long")
+
+
+def verified(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join all texts of a loose group that are alike. sets: node, root, size, shingles.
+
+    A loose group of up to BLOCK bytes is compared in one task. Larger ones are dealt into blocks: first each text
+    is held against those it has an edge with, then those not yet joined to the group's largest class against
+    all of the group, block by block.
+    """
+    sizes = sets.groupBy("root").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    sizes = written(sizes, "simhash-sizes")
+    n_large = sizes.count()
+    sized = sets.join(F.broadcast(sizes) if n_large < FEW_GROUPS else sizes.hint("merge"), "root", "left")
+    zero, small = F.lit(0), sized.filter("blocks is null")
+    links = _compared(small.select(F.col("root").alias("group"), zero.alias("part"), zero.alias("other"), F.lit(True).alias("asked"), "node", F.col("node").alias("strict"), "shingles"))
+    if not n_large:
+        return written(links, "simhash-links")
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    large = written(sized.filter("blocks is not null").withColumn("block", block("blocks")), "simhash-large")
+    mine = large.select("node", "block", "shingles", F.lit(False).alias("asked")).hint("merge")
+    met = edges.join(mine, edges["a"] == mine["node"]).select(F.col("b").alias("group"), "block", "node", "asked", "shingles")
+    hubs = met.select("group", "block").distinct().join(large.select(F.col("node").alias("group"), "shingles").hint("merge"), "group")
+    rows = met.unionByName(hubs.select("group", "block", F.col("group").alias("node"), F.lit(True).alias("asked"), "shingles"))
+    star = written(_compared(rows.select("group", F.col("block").alias("part"), zero.alias("other"), "asked", "node", F.col("node").alias("strict"), "shingles")), "simhash-star")
+    strict = components(star).withColumnRenamed("root", "strict")
+    large = large.join(strict.hint("merge"), "node", "left").withColumn("strict", F.coalesce("strict", "node"))
+    classes = large.groupBy("root", "strict").agg(F.count("*").alias("n")).groupBy("root").agg(F.max(F.struct("n", "strict"))["strict"].alias("main"))
+    large = written(large.join(classes.hint("merge"), "root"), "simhash-strict")
+    out = large.filter("strict <> main")
+    parts = out.groupBy("root").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("parts"))
+    every = lambda n: F.explode(F.sequence(zero, F.col(n) - 1))
+    rest = lambda df, asked: df.select(F.col("root").alias("group"), "part", "other", F.lit(asked).alias("asked"), "node", "strict", "shingles")
+    asked = out.join(parts.hint("merge"), "root").withColumn("part", block("parts")).withColumn("other", every("blocks"))
+    against = large.join(parts.hint("merge"), "root").withColumn("other", F.col("block")).withColumn("part", every("parts"))
+    return written(links.unionByName(star).unionByName(_compared(rest(asked, True).unionByName(rest(against, False)))), "simhash-links")
+
+
+def grouped_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """digest, doc_id, n, root of each distinct text: the least id of its copies, the records that have both, its class."""
+    texts = distinct_texts(df, id_col, text_col)
+    edges, loose = loose_groups(texts)
+    found = texts.select("node", "digest", "doc_id").join(loose.hint("merge"), "node")
+    found = found.select("node", "root", F.col("digest").alias("_digest"), F.col("doc_id").alias("_id")).hint("merge")
+    source = df.select(digest_of(df, text_col).alias("digest"), F.col(id_col).cast("long").alias("doc_id"), text_of(df, text_col).alias("text"))
+    bodies = source.join(found, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "root", "text")
+    sets = written(bodies.mapInArrow(_full, "node long, root long, size long, shingles binary"), "simhash-sets")
+    label = components(verified(edges, sets))
+    rooted = texts.select("node", "digest", "doc_id", "n").join(label.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return written(rooted.select("digest", "doc_id", "n", "root"), "simhash-roots")
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, root, component_id of each record, over links of SIMILARITY or more in five-word shingles.
-
-    A text is first compared with the least text of each bucket that it is in, so a group of near copies costs
-    rows in proportion to its size. The first fingerprint goes ahead: what it joins needs no comparing by the
-    others, which look for links between its components only. Then all pairs of a bucket that are still in
-    different components are compared, as the least text may be unlike two that are alike. A pair is missed where
-    no fingerprint of it comes within about two bits (one in six at 0.8, one in a hundred at 0.9) and no third
-    text links it. Nulls and ties as in near_duplicates.
+    """doc_id, component_id of each record, over links of SIMILARITY or more in five-word shingles.
+
+    Similarity is exact, over all shingles. Texts without words are alike, and so are those of fewer than five words
+    that have the same ones. A pair is missed only where the texts share none of their keys, or their fingerprints
+    differ in more than NEAR of 576 bits, and no third text links them; README has the measured share.
+    Nulls, ties and empty tables as in near_duplicates.
     """
-    source = df.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(df, text_col).alias("text_hash"), text_of(df, text_col).alias("text"))
-    bodies = source.select("text_hash", "text")
-    docs = written(source.mapInArrow(_sketches, "doc_id long, text_hash long, prints array<long>, shingles binary"), "simhash-sketches")
-    ids = docs.groupBy("text_hash").agg(F.min("doc_id").alias("least"))
-    tag = lambda c: F.shiftright(c, 32).cast("int").alias("tag")
-    texts = docs.select(F.col("text_hash").alias("node"), tag("text_hash"), "prints")
-    ahead = _shared(texts, range(1))
-    first = _verified(_likely(ahead), docs, bodies)
-    label = components(first).withColumnRenamed("node", "text_hash")
-    texts = docs.join(label.hint("merge"), "text_hash", "left").select(F.col("text_hash").alias("node"), tag(F.coalesce("root", "text_hash")), "prints")
-    others = _shared(texts, range(1, PRINTS))
-    more = first.unionByName(_verified(_likely(others), docs, bodies))
-    rest = _verified(_apart(ahead.unionByName(others), components(more)), docs, bodies)
-    label = components(more.unionByName(rest)).withColumnRenamed("node", "text_hash")
-    rooted = written(ids.join(label, "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash")), "simhash-roots")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return docs.select("doc_id", "text_hash").join(rooted.select("text_hash", "root").join(least, "root"), "text_hash")
+    docs = df.select(digest_of(df, text_col).alias("digest"), F.col(id_col).cast("long").alias("doc_id"))
+    copies = docs.groupBy("digest").agg(F.count("*").alias("n"))
+    texts = grouped_texts(df, id_col, text_col)
+    least = texts.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    label = labelled(texts.select("digest", "root"), least, "root").select("digest", "component_id").join(copies, "digest")
+    return labelled(docs, label, "digest").select("doc_id", "component_id")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one record of each of similar_groups' components: that with the least id; of records that share it, the one whose text's hash is least, once.
+    """df with one record of each of similar_groups' classes: that with the least id; of records that share it, the one whose text's digest is least, once. Null ids come last.
 
-    Ids and hashes are chosen first. Then texts meet what was chosen by a sort-merge join, at every size: the
-    chosen ids grow with the corpus, so they are never broadcast.
+    Ids and digests are chosen first. Then texts meet what was chosen by a sort-merge join, at every size: the
+    chosen ids grow with the corpus, so they are never broadcast. Copies differ in id, so they meet in different tasks.
     """
     have, mark, many = (unused_name(df, n) for n in ("_kept", "_hash", "_many"))
-    able = similar_groups(df, id_col, text_col).filter("doc_id <=> component_id").groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
-    found = able.groupBy("root").agg(F.min(F.struct("text_hash", "doc_id", "n")).alias("r"))
-    found = written(found.select(F.col("r.doc_id").alias(have), F.col("r.text_hash").alias(mark), (F.col("r.n") > 1).alias(many)), "simhash-kept")
-    kept = df.join(found.hint("merge"), df[id_col].cast("long").eqNullSafe(found[have]) & (text_hash(df, text_col) == found[mark]))
+    chosen = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "digest", "n")).alias("r")
+    found = grouped_texts(df, id_col, text_col).groupBy("root").agg(chosen)
+    found = written(found.select(F.col("r.doc_id").alias(have), F.col("r.digest").alias(mark), (F.col("r.n") > 1).alias(many)), "simhash-kept")
+    kept = df.join(found.hint("merge"), df[id_col].cast("long").eqNullSafe(found[have]) & (digest_of(df, text_col) == found[mark]))
     once = kept.filter(~F.col(many)).select(*df.columns)
     again = kept.filter(F.col(many)).groupBy(have, mark).agg(F.first(F.struct(*df.columns)).alias("r")).select("r.*")
     return once.unionByName(again)
