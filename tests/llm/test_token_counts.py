@@ -3,7 +3,7 @@ import random
 import public_tokenizers
 import pytest
 
-from vellumetry.llm.token_counts import PrefixCounter, fitting, prefix_counts, token_counts
+from vellumetry.llm.token_counts import PrefixCounter, fitting, prefix_counts, token_counts, total
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -22,13 +22,18 @@ def texts():
 def test_every_prefix_is_counted_as_the_library_does(counter):
     for t in texts():
         assert prefix_counts(counter.deltas(t)).tolist() == [len(counter.lib.encode(t[:k])) for k in range(len(t) + 1)], t
-        assert counter.count(t) == len(counter.lib.encode(t)), t
+        assert total(counter.deltas(t)) == len(counter.lib.encode(t)), t
 
 
-def test_longest_fitting_prefix(counter):
-    for t in texts():
-        for limit in (0, 1, 2, 5, 30):
-            assert counter.fit(t, limit) == fitting(counter.deltas(t), limit), (t, limit)
+def test_marks_that_the_library_takes_for_spaces(counter):
+    rnd = random.Random(2)
+    for letters in ("ab▁ ", "a▁ .,\n\t\x00\x7f", "É▁ é́ﬁ日\u200b\ufeff"):
+        for _ in range(1500):
+            t = "".join(rnd.choices(letters, k=rnd.randint(0, 12)))
+            counts = prefix_counts(counter.deltas(t)).tolist()
+            assert counts == [len(counter.lib.encode(t[:k])) for k in range(len(t) + 1)], repr(t)
+            for limit in (0, 1, 3):
+                assert fitting(counter.deltas(t), limit) == max(k for k, c in enumerate(counts) if c <= limit)
 
 
 def test_a_full_cache_changes_nothing(counter, monkeypatch):
@@ -36,7 +41,7 @@ def test_a_full_cache_changes_nothing(counter, monkeypatch):
 
     monkeypatch.setattr(module, "KEPT", 3)
     for t in texts()[-20:]:
-        assert counter.count(t) == len(counter.lib.encode(t))
+        assert total(counter.deltas(t)) == len(counter.lib.encode(t))
 
 
 def test_rows(spark, odd, odd_rows, counter):

@@ -7,8 +7,8 @@ encoder leaves apart from the last piece before it. Pieces never hold a space
 after another character, so a text falls into units that start with its spaces,
 each with its own states; units are kept in a bounded cache.
 
-A store row holds, a byte a character, how the count changes from prefix to
-prefix: counts, truncations and budgets then need sums only, no encoder.
+A text's row is, a byte a character, how the count changes from prefix to prefix:
+counts, truncations and budgets then need sums only, no encoder. All columns come from it.
 """
 
 from __future__ import annotations
@@ -49,8 +49,8 @@ class PrefixCounter:
         self.apart: dict[tuple[str, str], bool] = {}
         #: Neighbours that some piece holds.
         self.joined = {a + b for p in pieces for a, b in zip(p, p[1:], strict=False)}
-        self.units: dict[str, int] = {}
-        self.tails: dict[str, int] = {}
+        self.units: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def raw(self, s: str) -> list[str]:
         """The pieces of s without the space that the encoder puts before a text."""
@@ -86,24 +86,26 @@ class PrefixCounter:
         return [len(self.raw(s[:k])) for k in range(len(s) + 1)]
 
     def learn(self, keys: list[str]) -> None:
-        """Adds the totals of units (named without their first space); each is held against the library.
+        """Adds the changes of units (named without their first space), a byte a character; each unit's total is held against the library, which decides all its prefixes where the program differs.
 
-        Marks after a letter part from it where no piece has them together; then the unit's total is that of
-        the unit without them, plus theirs.
+        Marks after a letter part from it where no piece has them together; then the unit's counts are those of
+        the unit without them, and theirs on top.
         """
         for key, ids in zip(keys, self.lib.encode([APART + " " + k for k in keys], num_threads=1), strict=True):
             if (m := TAIL.fullmatch(key)) and m[1][-1] + m[2][0] not in self.joined:
                 base, tail = m.groups()
-                if (total := self.units.get(base)) is None:
-                    total = self.units[base] = self.states(SPACE + base)[-1]
+                if (own := self.units.get(base)) is None:
+                    own = self.units[base] = changes(self.states(SPACE + base))
                 if (more := self.tails.get(tail)) is None:
-                    more = self.tails[tail] = len(self.raw(tail))
-                total += more
+                    more = self.tails[tail] = changes(self.slow(tail))
+                own += more
             else:
-                total = self.states(SPACE + key.replace(" ", SPACE))[-1]
-            self.units[key] = total if total == len(ids) - 2 else len(ids) - 2
+                own = changes(self.states(SPACE + key.replace(" ", SPACE)))
+            if total(own) != len(ids) - 2:
+                own = changes(self.slow(SPACE + key.replace(" ", SPACE)))
+            self.units[key] = own
 
-    def known(self, keys: list[str]) -> dict[str, int]:
+    def known(self, keys: list[str]) -> dict[str, bytes]:
         new = {k for k in keys if k not in self.units}
         if new:
             if len(self.units) + len(new) > KEPT:
@@ -114,7 +116,8 @@ class PrefixCounter:
         return self.units
 
     def keys(self, text: str) -> Iterator[list[str]]:
-        """The units of a text, a slab at a time."""
+        """The units of a text, a slab at a time. The library takes SPACE itself for a space."""
+        text = text.replace(SPACE, " ")
         at = 0
         while text and at <= len(text):
             end = at + SLAB
@@ -127,39 +130,24 @@ class PrefixCounter:
             if end >= len(text):
                 break
 
-    def count(self, text: str) -> int:
-        n = 0
+    def deltas(self, text: str) -> bytes:
+        """A signed byte for the space before the text, then one a character: how much the count changes."""
+        out = []
         for keys in self.keys(text):
-            n += sum(map(self.known(keys).__getitem__, keys))
+            out.append(b"".join(map(self.known(keys).__getitem__, keys)))
             if max(map(len, keys)) > LONGEST:
                 for k in keys:
                     if len(k) > LONGEST:
                         self.units.pop(k, None)
-        return n
+        return b"".join(out)
 
-    def fit(self, text: str, limit: int) -> int:
-        """Characters of the longest prefix of at most `limit` tokens. Totals only grow from unit to unit, so only the unit that crosses the limit needs its states."""
-        n, at = 0, 0
-        for keys in self.keys(text):
-            units = self.known(keys)
-            for k in keys:
-                if n + units[k] > limit:
-                    counts = self.states(SPACE + k.replace(" ", SPACE))
-                    return max(0, at - 1 + max(i for i, c in enumerate(counts) if n + c <= limit))
-                n += units[k]
-                at += len(k) + 1
-        return len(text)
 
-    def deltas(self, text: str) -> bytes:
-        """A signed byte for the space before the text, then one a character: how much the count changes."""
-        out, seen = [], {}
-        for keys in self.keys(text):
-            for k in keys:
-                if k not in seen:
-                    count = self.states(SPACE + k.replace(" ", SPACE))
-                    seen[k] = array("b", [b - a for a, b in zip(count, count[1:], strict=False)]).tobytes()
-                out.append(seen[k])
-        return b"".join(out)
+def changes(counts: list[int]) -> bytes:
+    return array("b", [b - a for a, b in zip(counts, counts[1:], strict=False)]).tobytes()
+
+
+def total(deltas: bytes) -> int:
+    return int(np.frombuffer(deltas, np.int8).sum(dtype=np.int64))
 
 
 def prefix_counts(deltas: bytes) -> np.ndarray:
@@ -180,9 +168,10 @@ def _counted(model_file: str, limit: int, store: bool):
             texts = b.column("text").to_pylist()
             n, fit, deltas = [], [], []
             for t in texts:
-                n.append(counter.count(t))
-                fit.append(counter.fit(t, limit) if n[-1] > limit else len(t))
-                deltas.append(counter.deltas(t) if store else b"")
+                changed = counter.deltas(t)
+                n.append(total(changed))
+                fit.append(fitting(changed, limit) if n[-1] > limit else len(t))
+                deltas.append(changed if store else b"")
             cols = [b.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array(fit, pa.int64()), *([pa.array(deltas, pa.binary())] if store else [])]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_tokens", "fit_chars", *(["deltas"] if store else [])])
 
@@ -192,8 +181,9 @@ def _counted(model_file: str, limit: int, store: bool):
 def token_counts(df: DataFrame, model_file: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", store: bool = False) -> DataFrame:
     """One row per record: doc_id, n_bytes, n_tokens, fit_chars (longest prefix within limit), and with store=True deltas.
 
-    No shuffle. Null text counts as empty: no bytes, no tokens. Null ids and repeated rows pass through. Texts of
-    any length are split a slab at a time; only their row must fit in memory. Other columns are not read.
+    No shuffle. Null text counts as empty: no bytes, no tokens. Null ids and repeated rows pass through; ids are cast
+    to long. Texts of any length are split a slab at a time; their row, a byte a character, must fit in memory. Other
+    columns are not read. An empty table gives no rows.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(df, text_col).alias("text"))
     return docs.mapInArrow(_counted(model_file, limit, store), "doc_id long, n_bytes long, n_tokens long, fit_chars long" + ", deltas binary" * store)
