@@ -2,6 +2,8 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
+
 from vellumetry.llm.sharding import SlotMap, assign, sharded
 
 
@@ -53,3 +55,27 @@ def test_columns_stay(spark, odd):
     out, chosen, _ = assign(odd, 3)
     assert out.columns[: len(odd.columns)] == odd.columns and out.columns[-2] == "__vslot" and chosen.n_shards == 3
     assert out.count() == odd.count()
+
+
+def test_a_second_run_edits_the_map(spark, tmp_path):
+    rnd = random.Random(5)
+    rows = [(i, "x" * rnd.randint(0, 300)) for i in range(6000)]
+    frame = lambda rs: spark.createDataFrame(rs, "doc_id long, text string")
+    path = f"file://{tmp_path}/map"
+    _, first, _ = assign(frame(rows), 4, map_path=path)
+    _, same, _ = assign(frame(rows), 4, map_path=path)
+    assert same == first and SlotMap.versions(spark, path) == [1] and len(same.owner) == 4096
+    heavy = rows + [(10_000 + i, "y" * 900) for i in range(6000) if first.owner[i % 4096] == 0]
+    out, second, sizes = assign(frame(heavy), 4, map_path=path)
+    held = {v: b for v, (b, _) in sizes.items()}
+    load = second.load(held)
+    assert second.n_shards == 4 and max(load) - min(load) <= 0.02 * sum(load) and out.count() == len(heavy)
+    _, third, _ = assign(frame(heavy), 5, map_path=path)
+    moved = [s for s in range(4096) if second.owner[s] != third.owner[s]]
+    assert third.version == SlotMap.versions(spark, path)[-1] and len(third.owner) == 4096
+    assert all(third.owner[s] == 4 for s in moved) and max(third.load(held)) - min(third.load(held)) <= 0.02 * sum(load)
+    _, fourth, _ = assign(frame(heavy), 3, map_path=path)
+    assert set(fourth.owner) == {0, 1, 2} and max(fourth.load(held)) - min(fourth.load(held)) <= 0.02 * sum(load)
+    with pytest.raises(ValueError):
+        fourth.save(spark, path)
+    assert SlotMap.read(spark, path, 1) == first

@@ -17,6 +17,8 @@ from .common import new_path, text_of, unused_name
 
 SLOTS = 4096
 OVERHEAD = 16
+#: Shards that differ by less than this part of the mean stay as they are.
+TOLERANCE = 0.01
 
 
 @dataclass(frozen=True)
@@ -55,29 +57,57 @@ class SlotMap:
         return SlotMap(self.version + 1, new + 1, tuple(owner))
 
     def rebalanced(self, sizes: dict[int, int], moves: int = SLOTS) -> SlotMap:
-        """The same shards after sizes changed: while it narrows the gap, a slot goes from the fullest to the emptiest."""
+        """The same shards after sizes changed: while they differ by over TOLERANCE and it narrows the gap, a slot goes from the fullest to the emptiest."""
         held, owner = self.load(sizes), list(self.owner)
         for _ in range(moves):
             full, empty = max(range(len(held)), key=held.__getitem__), min(range(len(held)), key=held.__getitem__)
-            fits = [s for s, o in enumerate(owner) if o == full and 0 < sizes.get(s, 0) < held[full] - held[empty]]
+            gap = held[full] - held[empty]
+            fits = [s for s, o in enumerate(owner) if o == full and 0 < sizes.get(s, 0) < gap] if gap * len(held) > TOLERANCE * sum(held) else []
             if not fits:
                 break
-            slot = min(fits, key=lambda s: (abs(2 * sizes[s] - held[full] + held[empty]), s))
+            slot = min(fits, key=lambda s: (abs(2 * sizes[s] - gap), s))
             owner[slot] = empty
             held[full] -= sizes[slot]
             held[empty] += sizes[slot]
         return replace(self, version=self.version + 1, owner=tuple(owner)) if tuple(owner) != self.owner else self
 
+    def shrunk(self, sizes: dict[int, int]) -> SlotMap:
+        """Without the last shard, whose slots go, from the largest on, to the shard with the fewest bytes; no other slot moves."""
+        last, owner = self.n_shards - 1, list(self.owner)
+        heap = [(n, s) for s, n in enumerate(self.load(sizes)[:last])]
+        heapq.heapify(heap)
+        for slot in sorted((s for s, o in enumerate(owner) if o == last), key=lambda s: (-sizes.get(s, 0), s)):
+            n, owner[slot] = heapq.heappop(heap)
+            heapq.heappush(heap, (n + sizes.get(slot, 0), owner[slot]))
+        return SlotMap(self.version + 1, last, tuple(owner))
+
+    def edited(self, sizes: dict[int, int], n_shards: int) -> SlotMap:
+        """The next version, for so many shards and these sizes; self where nothing has to move."""
+        out = self
+        while out.n_shards != n_shards:
+            out = out.grown(sizes) if out.n_shards < n_shards else out.shrunk(sizes)
+        out = out.rebalanced(sizes)
+        return self if out is self else replace(out, version=self.version + 1)
+
     def save(self, spark: SparkSession, path: str) -> None:
-        rows = [(self.version, self.n_shards, slot, shard) for slot, shard in enumerate(self.owner)]
-        spark.createDataFrame(rows, "version int, n_shards int, slot int, shard int").coalesce(1).write.mode("append").parquet(path)
+        """Adds the version to the map under path; one that is there already is never written again."""
+        if self.version in SlotMap.versions(spark, path):
+            raise ValueError(f"the map in {path} has version {self.version} already")
+        rows = [(self.n_shards, slot, shard) for slot, shard in enumerate(self.owner)]
+        spark.createDataFrame(rows, "n_shards int, slot int, shard int").coalesce(1).write.mode("error").parquet(f"{path}/version={self.version}")
+
+    @staticmethod
+    def versions(spark: SparkSession, path: str) -> list[int]:
+        """The versions that are complete, oldest first."""
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
+        found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+        return sorted(int(f.getPath().getParent().getName().removeprefix("version=")) for f in found or [])
 
     @staticmethod
     def read(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
-        """The given version, or the newest. At most SLOTS rows of each version exist."""
-        maps = spark.read.parquet(path)
-        version = version or maps.agg(F.max("version")).head()[0]
-        rows = maps.filter(F.col("version") == version).orderBy("slot").collect()
+        """The given version, or the newest. A version has one row per slot."""
+        version = version or SlotMap.versions(spark, path)[-1]
+        rows = spark.read.parquet(f"{path}/version={version}").orderBy("slot").collect()
         return SlotMap(version, rows[0]["n_shards"], tuple(r["shard"] for r in rows))
 
     def frame(self, spark: SparkSession, slot_name: str, shard_name: str) -> DataFrame:
@@ -102,18 +132,24 @@ def slot_sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sl
 def assign(df: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None) -> tuple[DataFrame, SlotMap, dict[int, tuple[int, int]]]:
     """df with the columns _vslot and _shard (or names with more underscores where df has these).
 
-    The map is saved under map_path and read from there, so a later run can edit it.
+    A map that map_path holds is edited to the sizes and shards of now, as its next version, and only slots that have
+    to change shard do; without one, version 1 is made. The newest version is read back from there.
     Rows with null id or text count as any others (null text: empty); an empty table gives no rows.
     Repeated rows share a slot. The map joined to the rows has SLOTS rows, so it is broadcast.
     """
     spark = df.sparkSession
     sizes = slot_sizes(df, id_col, text_col)
     path = map_path or new_path(spark, "slot-map")
-    SlotMap.balanced({v: b for v, (b, _) in sizes.items()}, n_shards).save(spark, path)
+    held = {v: b for v, (b, _) in sizes.items()}
+    if SlotMap.versions(spark, path):
+        old = SlotMap.read(spark, path)
+        if (new := old.edited(held, n_shards)) is not old:
+            new.save(spark, path)
+    else:
+        SlotMap.balanced(held, n_shards).save(spark, path)
     chosen = SlotMap.read(spark, path)
     v, s = unused_name(df, "_vslot"), unused_name(df, "_shard")
-    held = df.withColumn(v, virtual_slot(df, id_col, text_col))
-    return held.join(F.broadcast(chosen.frame(spark, v, s)), v).select(*df.columns, v, s), chosen, sizes
+    return df.withColumn(v, virtual_slot(df, id_col, text_col)).join(F.broadcast(chosen.frame(spark, v, s)), v).select(*df.columns, v, s), chosen, sizes
 
 
 def sharded(df: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
