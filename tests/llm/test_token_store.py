@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -74,6 +75,36 @@ def test_round_trip(spark, odd, odd_rows, lib, tmp_path):
     assert spark.read.parquet(f"{path}/chunks").groupBy("digest").count().filter("count > 1").count() == 0
 
 
+def test_files_ascend(spark, tmp_path):
+    """Over the files in order of name, also where many records share an id."""
+    rows = [(i, f"text {i} {k}") for i in (None, *range(60), 7, 7, 7) for k in range(9)]
+    random.Random(3).shuffle(rows)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # keeps small partitions apart
+    try:
+        write_store(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), FILE, 2, f"file://{tmp_path}/store")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    ids, starts = [], []
+    files = sorted((tmp_path / "store/recipes").glob("part-*.parquet"))
+    for f in files:
+        table = pq.read_table(f, columns=["doc_id", "start"]).to_pydict()
+        ids += [-1 if i is None else i for i in table["doc_id"]]
+        starts += table["start"]
+    assert len(files) > 1 and len(ids) == len(rows) and ids == sorted(ids) and starts == sorted(starts)
+
+
+def test_lost_rows_are_found(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    for table, rule in (("chunks", "digest <> (select min(digest) from t)"), ("recipes", "doc_id <> 4"), ("manifest", "part <> 0")):
+        path = write_store(docs, FILE, 2, f"file://{tmp_path}/{table}")
+        spark.read.parquet(f"{path}/{table}").createOrReplaceTempView("t")
+        left = spark.sql(f"select * from t where {rule}").collect()
+        schema = spark.table("t").schema
+        spark.createDataFrame(left, schema).write.mode("overwrite").parquet(f"{path}/{table}")
+        with pytest.raises(Exception, match="damaged"):
+            read_sums(spark, path).collect()
+
+
 def test_damage_is_found(spark, tmp_path):
     docs = spark.createDataFrame([(1, " ".join(random.Random(1).choices("abcdef", k=500)))], "doc_id long, text string")
     path = write_store(docs, FILE, 2, f"file://{tmp_path}/store")

@@ -4,11 +4,11 @@ A rolling hash over the ids cuts each document's stream into chunks where the
 content says so, so equal passages give equal chunks. Layout of a store:
 
     chunks/    digest, n, ids: each distinct chunk once, ids little-endian (2 bytes each, 4 for large vocabularies)
-    recipes/   doc_id, start, n_tokens, digests, lengths, root, part: ascending by doc_id within ascending part
+    recipes/   doc_id, start, n_tokens, digests, lengths, root, part: ascending by doc_id over the files in order of name
     manifest/  part, first_id, last_id, docs, tokens, root: a Merkle root over each part's documents
 
-A document's root is the Merkle root of its chunk digests. Reading checks the
-digest of each chunk's bytes and the root of each recipe.
+A document's root is the Merkle root of its chunk digests. Reading checks the manifest
+against the recipes, the root of each recipe, the digest of each chunk's bytes, and that no chunk is missing.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import few_rows, new_path, text_of, worker_state, written
+from .common import done_with, few_rows, new_path, text_of, worker_state, written
 
 #: Ids in a window of the rolling hash; ids in a chunk: at least, on average about, at most.
 WINDOW, LEAST, MEAN, MOST = 8, 64, 256, 2048
@@ -213,7 +213,8 @@ def _manifest(batches):
 def write_store(df: DataFrame, tokenizer_file: str, end_id: int = 2, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encodes df's whole texts, each with end_id after it, into a store; returns its path.
 
-    Null text is empty: its stream is the end id alone. Null ids come first; rows of one id stand by root.
+    Null text is empty: its stream is the end id alone. Null ids come first; rows of one id stand by root. Ids are
+    cast to long. Very long texts are encoded whole, so each must fit in memory several times over.
     An empty table gives an empty store. Ids move once (to their chunk's partition), and copies of a chunk
     meet before they move.
     """
@@ -223,7 +224,7 @@ def write_store(df: DataFrame, tokenizer_file: str, end_id: int = 2, path: str |
     encoded = written(docs.mapInArrow(_encoded(tokenizer_file, end_id), "doc_id long, n_tokens long, root binary, digests array<binary>, lengths array<int>, chunks array<binary>"), "token-streams")
     each = encoded.select(F.explode(F.arrays_zip("digests", "lengths", "chunks")).alias("c")).select(F.col("c.digests").alias("digest"), F.col("c.lengths").alias("n"), F.col("c.chunks").alias("ids"))
     each.groupBy("digest").agg(F.first("n").alias("n"), F.first("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{path}/chunks")
-    ranged = encoded.select("doc_id", "n_tokens", "root", "digests", "lengths").repartitionByRange("doc_id").withColumn("part", F.spark_partition_id())
+    ranged = encoded.select("doc_id", "n_tokens", "root", "digests", "lengths").repartitionByRange("doc_id", "root").withColumn("part", F.spark_partition_id())
     ranged = written(ranged, "token-recipes")
     before, starts = 0, []
     for r in ranged.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():  # a row a partition
@@ -231,12 +232,33 @@ def write_store(df: DataFrame, tokenizer_file: str, end_id: int = 2, path: str |
         before += r["n"]
     run = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("doc_id", "root").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
     run = ranged.withColumn("run", run).join(F.broadcast(spark.createDataFrame(starts, "part int, before long")), "part")
-    run.select("doc_id", (F.col("before") + F.col("run")).alias("start"), "n_tokens", "digests", "lengths", "root", "part").sortWithinPartitions("part", "start").write.parquet(f"{path}/recipes")
-    recipes = spark.read.parquet(f"{path}/recipes").select("part", "start", "doc_id", "n_tokens", "root").repartition("part").sortWithinPartitions("part", "start")
-    recipes.mapInArrow(_manifest, "part int, first_id long, last_id long, docs long, tokens long, root binary").write.parquet(f"{path}/manifest")
+    run.select("doc_id", (F.col("before") + F.col("run")).alias("start"), "n_tokens", "digests", "lengths", "root", "part").repartitionByRange("start").sortWithinPartitions("start").write.parquet(f"{path}/recipes")
+    _parts(spark, path).write.parquet(f"{path}/manifest")
+    done_with(encoded, ranged)
     return path
 
 
+def _parts(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest that the recipes make."""
+    recipes = spark.read.parquet(f"{path}/recipes").select("part", "start", "doc_id", "n_tokens", "root").repartition("part").sortWithinPartitions("part", "start")
+    return recipes.mapInArrow(_manifest, "part int, first_id long, last_id long, docs long, tokens long, root binary")
+
+
+def check_manifest(spark: SparkSession, path: str) -> None:
+    """Raises where a part's documents, tokens or root are not those that its recipes make."""
+    told, made = spark.read.parquet(f"{path}/manifest"), _parts(spark, path)
+    wrong = [r["part"] for r in told.exceptAll(made).unionByName(made.exceptAll(told)).select("part").distinct().limit(5).collect()]
+    if wrong:
+        raise ValueError(f"the store in {path} is damaged: the recipes of parts {sorted(wrong)} are not those of its manifest")
+
+
+def _complete(links: DataFrame, chunks: DataFrame) -> DataFrame:
+    """links with their chunks; raises where one is missing."""
+    found = links.join(chunks, "digest", "left")
+    missing = F.raise_error(F.concat(F.lit("the store is damaged, chunk missing: "), F.hex("digest"))).cast("int")
+    return found.withColumn("n", F.coalesce("n", missing))
+
+
 POLY = 0xEDB88320
 
 
@@ -303,10 +325,11 @@ def read_sums(spark: SparkSession, path: str) -> DataFrame:
     def finished(xor: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series(xor.to_numpy() ^ crc_shift(np.full(len(n), 0xFFFFFFFF, np.int64), n.to_numpy() * 4) ^ 0xFFFFFFFF)
 
+    check_manifest(spark, path)
     recipes = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", "n_tokens", "digests", "lengths", "root")
     links = recipes.mapInArrow(_links, "doc_id long, start long, digest binary, after long")
     chunks = spark.read.parquet(f"{path}/chunks").mapInArrow(_sums, "digest binary, n int, crc long")
-    per_doc = links.join(chunks, "digest").select("doc_id", "start", "n", shifted("crc", "after").alias("crc")).groupBy("doc_id", "start").agg(F.bit_xor("crc").alias("xor"), F.sum("n").alias("n_tokens"))
+    per_doc = _complete(links, chunks).select("doc_id", "start", "n", shifted("crc", "after").alias("crc")).groupBy("doc_id", "start").agg(F.bit_xor("crc").alias("xor"), F.sum("n").alias("n_tokens"))
     return per_doc.select("doc_id", "start", "n_tokens", finished("xor", "n_tokens").alias("ids_crc32"))
 
 
@@ -318,9 +341,10 @@ def read_ids(spark: SparkSession, path: str, doc_ids: DataFrame | None = None) -
         whole = [b"".join(p) for p in parts]
         return pd.Series([np.frombuffer(w, "<u2" if len(w) == 2 * k else "<u4").astype(np.int32) for w, k in zip(whole, n, strict=True)])
 
+    check_manifest(spark, path)
     recipes = spark.read.parquet(f"{path}/recipes")
     if doc_ids is not None:
         recipes = recipes.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
     links = recipes.mapInArrow(_links, "doc_id long, start long, digest binary, after long")
-    parts = links.join(spark.read.parquet(f"{path}/chunks"), "digest").groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("after", "n", "ids")), asc=False).alias("c"), F.sum("n").alias("n_tokens"))
+    parts = _complete(links, spark.read.parquet(f"{path}/chunks")).groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("after", "n", "ids")), asc=False).alias("c"), F.sum("n").alias("n_tokens"))
     return parts.select("doc_id", "start", joined("c.ids", "n_tokens").alias("ids"))
