@@ -1,9 +1,11 @@
 """Document quality by a linear-chain conditional random field over lines.
 
 Each line is good or bad. Its features, those of the lines before and after it, and
-the step from label to label decide; the labels of a document's lines are learned as
-the document's own. A document's score is the mean of its lines' probabilities of
-being good, by forward and backward sums, weighted by the lines' lengths.
+the step from label to label decide. A document's score is the mean of its lines'
+probabilities of being good, by forward and backward sums, weighted by the lines'
+lengths. Only documents have labels, so lines' labels are latent: the fit maximises the
+likelihood of the documents' labels given their scores, and lines of both kinds may stand in one
+document.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from .common import few_rows, text_of
 
 #: Labelled documents to learn from at most, those with the least hashes of their id; steps of the fit; its ridge.
 SAMPLE, STEPS, RIDGE = 6000, 150, 1e-3
+#: How sharply a document's score decides its label; the step of the difference that gives its slope.
+SHARP, DELTA = 16.0, 1e-4
 UPPER, DIGITS, SYMBOLS, MARKS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&|<>{}[]~^=_\\/@+", b"!?"
 N = 13
 
@@ -116,21 +120,30 @@ def marginals(odds: np.ndarray, step: np.ndarray, sizes: np.ndarray) -> tuple[np
     return good, pair.sum(axis=0), total
 
 
-def fit(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, steps: int = STEPS) -> Chain:
-    """Maximum conditional likelihood of the line labels, by Adam over all lines."""
+def fit(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, weight: np.ndarray | None = None, steps: int = STEPS) -> Chain:
+    """Maximum likelihood of the documents' labels y, by Adam over all lines. sizes: lines of each document; weight: of each line.
+
+    A document's score s is the weighted mean of its lines' marginals, and it is good with the logistic
+    probability of SHARP (2 s - 1). The slope of s by the lines' odds and the steps is the covariance of the labels
+    with their weighted sum: the difference of the marginals when all odds move by their weights.
+    """
+    weight = np.ones(len(x)) if weight is None else weight
     mean, scale = (x.mean(axis=0), x.std(axis=0) + 1e-6) if len(x) else (np.zeros(3 * N + 2), np.ones(3 * N + 2))
     z = (x - mean) / scale
     k = z.shape[1]
     theta, m, v = np.zeros(k + 5), np.zeros(k + 5), np.zeros(k + 5)
-    inside = np.ones(len(y), bool)
-    inside[np.cumsum(sizes) - sizes] = False
-    j = np.flatnonzero(inside)
-    true_steps = np.zeros((2, 2))
-    np.add.at(true_steps, (y[j - 1], y[j]), 1)
+    start = np.cumsum(sizes) - sizes
+    part = weight / np.repeat(np.add.reduceat(weight, start), sizes) if len(x) else weight
     for i in range(1, steps + 1 if len(y) else 1):
-        good, pairs, _ = marginals(np.clip(z @ theta[:k] + theta[k], -30, 30), theta[k + 1 :].reshape(2, 2), sizes)
-        gap = good - y
-        grad = np.concatenate([z.T @ gap, [gap.sum()], (pairs - true_steps).ravel()]) / len(y) + RIDGE * theta
+        odds, step = np.clip(z @ theta[:k] + theta[k], -30, 30), theta[k + 1 :].reshape(2, 2)
+        good, _, _ = marginals(odds, step, sizes)
+        score = np.add.reduceat(good * part, start)
+        gap = y - 1 / (1 + np.exp(-SHARP * (2 * score - 1)))  # slope of the likelihood by SHARP (2 s - 1)
+        pull = np.repeat(gap * sizes, sizes) * part  # documents count by their lines
+        up, pairs_up, _ = marginals(odds + DELTA * pull, step, sizes)
+        down, pairs_down, _ = marginals(odds - DELTA * pull, step, sizes)
+        line, pair = SHARP * (up - down) / DELTA, SHARP * (pairs_up - pairs_down) / DELTA
+        grad = -np.concatenate([z.T @ line, [line.sum()], pair.ravel()]) / len(x) + RIDGE * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta -= 0.1 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-9)
     return Chain(mean, scale, theta[:k], float(theta[k]), theta[k + 1 :].reshape(2, 2))
@@ -138,8 +151,9 @@ def fit(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, steps: int = STEPS) ->
 
 def _features(batches):
     for b in few_rows(batches):
-        rows = [line_features(t)[0] for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([len(r) for r in rows], pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "y", "lines", "features"])
+        made = [line_features(t) for t in b.column("text").to_pylist()]
+        rows, weights = (pa.array([m[i].tobytes() for m in made], pa.binary()) for i in range(2))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), rows, weights], names=["doc_id", "y", "features", "weights"])
 
 
 def held_out(df: DataFrame, id_col: str = "doc_id") -> Column:
@@ -150,20 +164,23 @@ def held_out(df: DataFrame, id_col: str = "doc_id") -> Column:
 def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Chain:
     """Fits to at most `sample` labelled documents outside the held-out fold: those whose ids hash least.
 
-    Their line features reach the driver, 52 bytes a line. Without labelled documents all weights are 0.
+    Their line features reach the driver, 60 bytes a line. Without labelled documents all weights are 0. Null ids,
+    labels of null and labels of documents that are not there are left out; of several labels of an id the higher
+    counts; records that share an id are learned from each, as are repeated rows.
     """
     known = labels.select(labels["doc_id"].cast("long").alias("_id"), labels["quality"].cast("int").alias("y")).filter("_id is not null and y is not null").groupBy("_id").agg(F.max("y").alias("y"))
     known = known.filter(~held_out(known, "_id")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(df, text_col).alias("text"))
     chosen = docs.join(F.broadcast(known), docs["doc_id"] == known["_id"]).select("doc_id", "text", "y")
-    rows = sorted(chosen.mapInArrow(_features, "doc_id long, y int, lines int, features binary").collect(), key=lambda r: (r["doc_id"], r["lines"], bytes(r["features"])))
+    rows = chosen.mapInArrow(_features, "doc_id long, y int, features binary, weights binary").collect()
+    rows.sort(key=lambda r: (r["doc_id"], bytes(r["weights"]), bytes(r["features"])))
     if not rows:
-        return fit(np.zeros((0, 3 * N + 2)), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    sizes = np.array([r["lines"] for r in rows])
-    flat = np.concatenate([np.frombuffer(r["features"], np.float32).reshape(-1, N) for r in rows])
+        return fit(np.zeros((0, 3 * N + 2)), np.zeros(0), np.zeros(0, np.int64))
+    weight = [np.frombuffer(r["weights"], np.float64) for r in rows]
+    sizes, flat = np.array([len(w) for w in weight]), np.concatenate([np.frombuffer(r["features"], np.float32).reshape(-1, N) for r in rows])
     first = np.zeros(len(flat), bool)
     first[np.cumsum(sizes) - sizes] = True
-    return fit(with_neighbours(flat, first).astype(np.float64), np.repeat([int(r["y"] > 0) for r in rows], sizes), sizes)
+    return fit(with_neighbours(flat, first).astype(np.float64), np.array([float(r["y"] > 0) for r in rows]), sizes, np.concatenate(weight))
 
 
 def _scored(chain: Chain):
@@ -186,7 +203,8 @@ def _scored(chain: Chain):
 def scores(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per record: doc_id, held_out, score (0 to 1, higher: better), n_lines, n_bad_lines, predicted (1 if score >= 0.5).
 
-    Null text is one empty line; so is an empty one. Null ids and repeated rows pass through. No shuffle.
+    Null text is one empty line; so is an empty one. Null ids and repeated rows pass through, ids are cast to long. A
+    text's time and memory grow with its lines and words. An empty table gives no rows. No shuffle.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), held_out(df, id_col).alias("held_out"), text_of(df, text_col).alias("text"))
     got = docs.mapInArrow(_scored(chain), "doc_id long, held_out boolean, score double, n_lines long, n_bad_lines long")
@@ -194,7 +212,7 @@ def scores(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 
 
 def accepted(df: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
-    """df without the records that are predicted bad; columns as they were."""
+    """df without the records that are predicted bad; columns as they were. Nulls, long texts and empty tables as in scores."""
 
     def run(batches):
         score = _scored(chain)
