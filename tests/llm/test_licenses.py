@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 
 from vellumetry.llm.licenses import PHRASES, TEMPLATES, blocks_of, license_scan, ordered, phrase_places, words_of
 
@@ -52,3 +53,17 @@ def test_filters_lose_nothing():
 
 def test_places_may_share_a_border():
     assert phrase_places(words_of("mit license mit license"), PHRASES)[0] == [(0, "mit"), (2, "mit")]
+
+
+def test_many_places_in_linear_time():
+    words = b"mit license x ".split() * 100_000
+    start = time.perf_counter()
+    places, n = phrase_places(words, PHRASES)
+    assert places == [(3 * k, "mit") for k in range(100_000)] and n == 300_000 and time.perf_counter() - start < 5
+
+
+def test_texts_of_more_licenses(spark):
+    texts = {label: text for label, kind, _, text in TEMPLATES if kind == "paragraph"}
+    docs = [(i, f"Intro.\n\n{t}\n \t\r\nMore.") for i, t in enumerate(texts.values())]
+    got = {r.doc_id: r.labels.split(",") for r in license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(label in got[i] for i, label in enumerate(texts))

@@ -66,6 +66,42 @@ TEMPLATES = (
         0.8,
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
     ),
+    (
+        "lgpl-text",
+        "paragraph",
+        0.9,
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    ),
+    (
+        "agpl-text",
+        "paragraph",
+        0.9,
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    ),
+    (
+        "epl-2.0-text",
+        "paragraph",
+        0.8,
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ),
+    (
+        "unlicense-text",
+        "paragraph",
+        0.8,
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+    ),
+    (
+        "cc0-text",
+        "paragraph",
+        0.8,
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    ),
+    (
+        "cc-by-4.0-text",
+        "paragraph",
+        0.8,
+        "This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/",
+    ),
 )
 
 #: ASCII characters other than digits and letters part words.
@@ -109,10 +145,11 @@ def ordered(templates: tuple, counts: dict[bytes, int]) -> tuple[Template, ...]:
 
 
 def blocks_of(text: str) -> dict[str, list[str]]:
+    """Lines, and paragraphs: lines up to one of spaces, tabs and carriage returns only."""
     lines = text.split("\n")
     paragraphs, run = [], []
     for line in [*lines, ""]:
-        if line.strip():
+        if line.strip(" \t\r"):
             run.append(line)
         elif run:
             paragraphs.append("\n".join(run))
@@ -126,10 +163,11 @@ def phrase_places(words: list[bytes], phrases: dict[str, str]) -> tuple[list[tup
     places = []
     for phrase, label in phrases.items():
         needle = b" " + phrase.encode() + b" "
-        at = joined.find(needle)
+        before, word, at = 0, 0, joined.find(needle)
         while at >= 0:
-            places.append((joined.count(b" ", 0, at), label))
-            at = joined.find(needle, at + len(needle) - 1)
+            word += joined.count(b" ", before, at)
+            places.append((word, label))
+            before, at = at, joined.find(needle, at + len(needle) - 1)
     return places, len(words)
 
 
@@ -180,7 +218,8 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Two passes over whole texts: one counts in how many documents each template word stands (so many counts
     reach the driver as templates have words), one joins. Null text is empty: no words, null places, no
-    labels, score 0. Null ids and repeated rows pass through. No text moves.
+    labels, score 0. Null ids and repeated rows pass through; ids are cast to long. A text's time and memory grow with
+    its length. An empty table gives no rows. No text moves.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(df, text_col).alias("text"))
     vocabulary = frozenset(w for _, _, _, text in templates for w in words_of(text))
