@@ -38,7 +38,7 @@ def repeats(words: np.ndarray, text_no: np.ndarray) -> np.ndarray:
     first = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    levels, step = [rank.astype(np.int32)], 1
+    by_word, undo, step = rank.astype(np.int32), [], 1  # of each doubling, the places it ranked and their ranks before
 
     def shared(ranks: np.ndarray, which: np.ndarray) -> np.ndarray:
         """Of these places, those whose rank another place has."""
@@ -54,20 +54,23 @@ def repeats(words: np.ndarray, text_no: np.ndarray) -> np.ndarray:
         new_head = np.concatenate([[True], heads[1:] != heads[:-1]])
         new = new_head | np.concatenate([[True], tails[1:] != tails[:-1]])
         at = np.arange(len(places))
+        undo.append((places.astype(np.int32), heads.astype(np.int32)))
         rank[places] = heads + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(new_head, at, 0))
-        levels.append(rank.astype(np.int32))
         active, step = shared(rank, active), step * 2
     suffixes = np.empty(n, np.int64)
     suffixes[rank] = np.arange(n)
     a, b = suffixes[:-1], suffixes[1:]
-    pair = np.flatnonzero(levels[0][a] == levels[0][b])
+    pair = np.flatnonzero(by_word[a] == by_word[b])
     a, b = a[pair], b[pair]
     common = np.zeros(len(pair), np.int64)
-    for level in range(len(levels) - 1, -1, -1):
+    for level in range(len(undo), -1, -1):
         x, y = a + common, b + common
         inside = (x < end[a]) & (y < end[b])
-        same = inside & (levels[level][np.minimum(x, n - 1)] == levels[level][np.minimum(y, n - 1)])
+        same = inside & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)])
         common += np.where(same, 1 << level, 0)
+        if level:
+            places, before = undo.pop()
+            rank[places] = before
     out = np.zeros(n, np.int64)
     np.maximum.at(out, a, common)
     np.maximum.at(out, b, common)
@@ -107,7 +110,9 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     n_repeat_words is the union of all strings of WINDOW or more words found twice in the text. kept needs
     base_failed false, the union at most max_share of the words and longest_repeat at most max_longest words.
-    Null text is empty and fails for its few words. Null ids and repeated rows pass through; no shuffle.
+    Null text is empty and fails for its few words. Null ids and repeated rows pass through, ids are cast to long; no
+    shuffle. A text of n words takes about 100 n bytes, and 8 more for each doubling in which a word still has a
+    twin: under 300 n for a text of a million times the same word. An empty table gives no rows.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(df, text_col).alias("text"))
     got = docs.mapInArrow(_measured, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, longest_repeat long")
