@@ -72,12 +72,12 @@ def test_filter_keeps_the_rest(spark, case, odd, none):
     assert D.decontaminated(frame, bench.limit(0)).count() == len(docs)
 
 
-def test_items_in_blocks_give_the_same(spark, case, monkeypatch):
+def test_merging_anchors_gives_the_same(spark, case, monkeypatch):
     docs, items = case
     frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     key = lambda d: sorted((r.key, r.item_id) for r in d.collect())
     whole = key(D.leaks(frame, bench))
-    monkeypatch.setattr(D, "ANCHORS", 7)
+    monkeypatch.setattr(D, "FEW", 0)
     assert key(D.leaks(frame, bench)) == whole
 
 
@@ -133,6 +133,23 @@ def test_best_window_in_line_with_no_anchor(spark):
     assert {(r.doc_id, r.item_id): (r.start, r.similarity) for r in found.collect()} == want
 
 
+def test_insertions_and_deletions_around_the_threshold(spark):
+    rnd = random.Random(14)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=6))
+    items = [(k, " ".join(word() for _ in range(180))) for k in range(6)]
+    docs = []
+    for i in range(60):
+        passage = items[i % 6][1].split()
+        for _ in range(rnd.randint(3, 6)):
+            at = rnd.randint(0, len(passage) - 1)
+            passage[at : at + rnd.randint(0, 1)] = [word() for _ in range(rnd.randint(0, 2))]
+        docs.append((i, " ".join([*(word() for _ in range(rnd.randint(0, 40))), *passage, *(word() for _ in range(20))])))
+    want = weighted(docs, items)
+    assert 10 < len(want) < 55
+    found = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): (r.start, r.similarity) for r in found.collect()} == want
+
+
 def test_repeated_clashing_and_null_items(spark):
     rnd = random.Random(10)
     texts = [" ".join("".join(rnd.choices("abcdefghij", k=5)) for _ in range(30)) for _ in range(6)]

@@ -20,7 +20,6 @@ RADIUS 23 lies over four deviations beyond.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,9 +30,10 @@ SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 23
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 8, 2
 #: Weight of a shingle that no item or one item has; it falls with every doubling of items.
 TOP_WEIGHT = 4
-#: Anchors that one pass over the documents looks for; larger benchmarks take more passes.
-ANCHORS = 20_000
-FIELDS, FIELD_BITS = 3, 21
+#: Rows of a table of anchors (16 bytes each) that may be broadcast.
+FEW = 2_000_000
+#: Counters to a long: weights of less than 2^31 in one window.
+FIELDS, FIELD_BITS = 2, 31
 
 
 def words(text: Column) -> Column:
@@ -71,7 +71,7 @@ def item_tables(bench: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
 
 
 def counters(weight: Column) -> list[Column]:
-    """Sums by bit of a hash h, three bits to a long."""
+    """Sums by bit of a hash h, FIELDS bits to a long."""
     bit = lambda b: F.shiftright("h", b).bitwiseAND(F.lit(1)) if b < 64 else F.lit(0)
     return [F.sum(weight * sum((bit(FIELDS * j + f) * (1 << FIELD_BITS * f) for f in range(1, FIELDS)), bit(FIELDS * j))).alias(f"c{j}") for j in range(math.ceil(64 / FIELDS))]
 
@@ -98,14 +98,18 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
     own, with a row each, and a null item_id is an id like any other. Every shingle of every text is looked up; no text moves.
     """
     names, weights, shingles, anchors = item_tables(bench, item_id, item_text)
-    wanted = [r["h"] for r in anchors.select("h").distinct().orderBy("h").collect()]  # as large as a fifth of the benchmark
     hashed = docs.select(row_key(docs, id_col, text_col).alias("key"), docs[id_col].alias("doc_id"), words(text_of(docs, text_col)).alias("ws")).select("key", "doc_id", F.size("ws").alias("n"), hashes(F.col("ws")).alias("hs"))
-    passes = [hashed.filter(F.expr(f"exists(hs, h -> h in ({','.join(f'{h}L' if h > -(1 << 63) else '(-9223372036854775807L - 1L)' for h in wanted[at : at + ANCHORS])}))")) for at in range(0, len(wanted), ANCHORS)]
-    found = (reduce(DataFrame.unionByName, passes) if passes else hashed.filter("false")).dropDuplicates(["key"])
-    found = written(found, "decontamination-found")
+    wanted = anchors.select("h").distinct()
+    found = hashed.select("key", "doc_id", "n", "hs", F.explode("hs").alias("h")).join(_side(wanted), "h").drop("h")
+    found = written(found.dropDuplicates(["key"]), "decontamination-found")
     return _verified(found, weights, shingles, anchors).join(names, "item").select("key", "doc_id", "item_id", "start", "similarity")
 
 
+def _side(table: DataFrame) -> DataFrame:
+    """A table of the benchmark as one side of a join: broadcast if it has at most FEW rows, else sorted and merged."""
+    return F.broadcast(table) if table.count() <= FEW else table.hint("merge")
+
+
 def _windows(found: DataFrame, weights: DataFrame, shingles: DataFrame, anchors: DataFrame, wholes: DataFrame) -> DataFrame:
     """key, item, start, len of each window, at every place, that may be similar enough to an item of which the record has an anchor.
 
@@ -113,7 +117,7 @@ def _windows(found: DataFrame, weights: DataFrame, shingles: DataFrame, anchors:
     the item's whole weight, is at least what they share.
     """
     places = written(found.select("key", "n", F.posexplode("hs").alias("p", "h")), "decontamination-places")
-    pairs = places.join(anchors, "h").select("key", "item", "m").distinct()
+    pairs = places.join(_side(anchors.select("item", "h", "m").distinct()), "h").select("key", "item", "m").distinct()
     weighed = places.join(weights, "h", "left").select("key", "n", "p", "h", F.coalesce("w", F.lit(TOP_WEIGHT)).alias("w"))
     held = F.when(F.col("has"), F.col("w")).otherwise(F.lit(0))
     each = weighed.join(pairs, "key").join(shingles.select("item", "h", F.lit(True).alias("has")), ["item", "h"], "left").withColumn("v", held)

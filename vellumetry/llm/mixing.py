@@ -23,6 +23,11 @@ def n_words(df: DataFrame, text_col: str = "text") -> Column:
     return F.regexp_count(text_of(df, text_col), F.lit(WORD)).cast("long")
 
 
+def order_hash(df: DataFrame, id_col: str, text_col: str) -> Column:
+    """Of the id; of the text where there is none, so that records without id spread too."""
+    return F.md5(F.coalesce(df[id_col].cast("string"), F.concat(F.lit("text:"), text_of(df, text_col))).cast("binary"))
+
+
 def targets(per_source: DataFrame) -> DataFrame:
     """Rows (source, source_size) with rank, weight and target.
 
@@ -53,7 +58,7 @@ def queued(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     rows spreads over thousands of window groups. carry keeps the text.
     """
     kept = df.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(df, text_col).alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("order_hash"), *([df[text_col].alias("text")] if carry else [])
+        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(df, text_col).alias("size"), order_hash(df, id_col, text_col).alias("order_hash"), *([df[text_col].alias("text")] if carry else [])
     )
     kept = kept.withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("bucket", F.conv(F.substring("order_hash", 1, 3), 16, 10).cast("int"))
     kept = written(kept, "mix-sizes")

@@ -80,7 +80,7 @@ QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_store, op3_qualit
 MIX_SQL = r"""
 with d as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
-         md5(coalesce(cast(doc_id as varchar), '')) as h
+         md5(coalesce(cast(doc_id as varchar), 'text:' || coalesce(text, ''))) as h
   from documents),
 s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
 r as (select *, row_number() over (order by source nulls last) as source_rank from s),
@@ -126,29 +126,29 @@ from o
 
 LEAKS_SQL = r"""
 with d as (
-  select distinct doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') as w from documents),
-k as (select row_number() over () as r, doc_id, len(w) as n, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) as hs from d),
-b as (select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') as w from benchmark),
-pl as (select item_id, len(w) as m, unnest(range(0, len(w) - 4)) as q, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as h from b where len(w) >= 5),
-wt as (select h, count(distinct item_id) as in_items, greatest(1, 4 - floor(log2(count(distinct item_id)))) as w from pl group by h),
-an as (select * from (
-    select item_id, q, h, m, coalesce(sum(w) over (partition by item_id order by in_items, q rows between unbounded preceding and 1 preceding), 0) as before,
-           sum(w) over (partition by item_id) as whole from pl join wt using (h)) where before <= whole * (1 - 0.8)),
-sh as (select item_id, h, count(*) as n, first(w) as w from pl join wt using (h) group by item_id, h),
-it as (select item_id, sum(n * w) as whole from sh group by item_id),
-dp as (select r, n, unnest(range(0, n - 4)) as p, unnest(hs) as h from k where n >= 5),
-wi as (select distinct r, item_id, greatest(0, least(p - q, n - m)) as start, least(m, n) - 4 as l from dp join an using (h)),
-ins as (select r, item_id, start, unnest(hs[start + 1:start + l]) as h from wi join k using (r)),
-ct as (select r, item_id, start, h, count(*) as c from ins group by all),
-sc as (select r, item_id, start, sum(coalesce(wt.w, 4) * least(c, coalesce(sh.n, 0))) as both_, sum(coalesce(wt.w, 4) * c) as own
-       from ct left join wt using (h) left join sh using (item_id, h) group by r, item_id, start),
-si as (select r, item_id, start, both_ / (own + whole - both_) as similarity from sc join it using (item_id) where both_ / (own + whole - both_) >= 0.8)
+  select distinct doc_id, coalesce(text, '') as text from documents),
+k as (select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') as w from d),
+b as (
+  select row_number() over () as i, item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') as w
+  from (select distinct item_id, coalesce(text, '') as text from benchmark)),
+pl as (select i, unnest(list_transform(range(1, len(w) - 3), lambda x: array_to_string(w[x:x + 4], ' '))) as h from b where len(w) >= 5),
+wt as (select h, greatest(1, 4 - floor(log2(count(distinct i)))) as w from pl group by h),
+sh as (select i, h, count(*) as n, first(w) as w from pl join wt using (h) group by i, h),
+it as (select i, sum(n * w) as whole, cast(sum(n) as bigint) as size from sh group by i),
+hs as (select r, len(w) - 4 as n, list_transform(range(1, len(w) - 3), lambda x: array_to_string(w[x:x + 4], ' ')) as hs from k where len(w) >= 5),
+dp as (select r, n, unnest(range(0, n)) as p, unnest(hs) as h from hs),
+-- windows as long as the item (or the text), at every place where they hold a shingle of it
+wi as (select distinct r, i, least(dp.n, size) as l, unnest(range(greatest(0, p - least(dp.n, size) + 1), least(p, dp.n - least(dp.n, size)) + 1)) as start
+       from dp join sh using (h) join it using (i)),
+ct as (select r, i, start, h, count(*) as c from (select r, i, start, unnest(hs[start + 1:start + l]) as h from wi join hs using (r)) group by all),
+sc as (select r, i, start, sum(coalesce(wt.w, 4) * least(c, coalesce(sh.n, 0))) as both_, sum(coalesce(wt.w, 4) * c) as own
+       from ct left join wt using (h) left join sh using (i, h) group by r, i, start),
+si as (select r, i, start, both_ / (own + whole - both_) as similarity from sc join it using (i) where both_ / (own + whole - both_) >= 0.8)
 select doc_id, item_id, cast(arg_max(start, (similarity, -start)) as bigint) as start, round(max(similarity), 6) as similarity
-from si join k using (r) group by r, doc_id, item_id
+from si join k using (r) join b using (i) group by r, i, doc_id, item_id
 """
 
 
-
 def _license_sql() -> str:
     """The scan's definition, without its filters; templates and phrases as literals."""
     words, lists = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'", lambda ws: "[" + ", ".join(f"'{w.decode()}'" for w in ws) + "]"
