@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from vellumetry.llm import common
 from vellumetry.llm.queries import ORACLE_SQL, QUERIES
 
 
@@ -36,6 +37,22 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, where).count() == docs.count()
 
 
+def test_odd_and_empty_tables(spark, odd, none, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}/shared")
+    for name, docs, labels in (("odd", odd, [(1, 1, 0), (2, 0, 0), (None, 1, 0), (3, None, 0)]), ("unlabelled", odd, []), ("none", none, [])):
+        where = f"file://{tmp_path}/{name}"
+        docs.write.parquet(f"{where}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+        spark.createDataFrame([(None, None), (1, "")], "item_id long, text string").write.parquet(f"{where}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, where)
+        assert out.columns == [*docs.columns, "slot", "shard"]
+        assert name == "odd" or (out.count() > 0) == (name == "unlabelled")
+        assert out.select(*docs.columns).distinct().exceptAll(docs).count() == 0
+        left = [p.name.split("-")[1] for p in (tmp_path / "shared/vellumetry").glob("pipeline-*")]
+        assert set(left) == {"shards"}
+    assert not list((tmp_path / "shared/vellumetry").glob("simhash-*"))
+
+
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "benchmark_leaks", "mix", "shards"]
     assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES if q != "pipeline"}
