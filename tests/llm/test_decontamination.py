@@ -72,13 +72,15 @@ def test_filter_keeps_the_rest(spark, case, odd, none):
     assert D.decontaminated(frame, bench.limit(0)).count() == len(docs)
 
 
-def test_merging_anchors_gives_the_same(spark, case, monkeypatch):
+def test_more_anchors_take_joins(spark, case, monkeypatch):
     docs, items = case
     frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     key = lambda d: sorted((r.key, r.item_id) for r in d.collect())
     whole = key(D.leaks(frame, bench))
-    monkeypatch.setattr(D, "FEW", 0)
-    assert key(D.leaks(frame, bench)) == whole
+    for few in (D.FEW, 0):
+        monkeypatch.setattr(D, "LISTED", 0)
+        monkeypatch.setattr(D, "FEW", few)
+        assert key(D.leaks(frame, bench)) == whole
 
 
 def test_blocks_guarantee_the_radius():

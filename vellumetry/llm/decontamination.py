@@ -32,6 +32,8 @@ BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 8, 2
 TOP_WEIGHT = 4
 #: Rows of a table of anchors (16 bytes each) that may be broadcast.
 FEW = 2_000_000
+#: Anchors (8 bytes each) that may go to the driver as a set.
+LISTED = 100_000
 #: Counters to a long: weights of less than 2^31 in one window.
 FIELDS, FIELD_BITS = 2, 31
 
@@ -99,12 +101,19 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
     """
     names, weights, shingles, anchors = item_tables(bench, item_id, item_text)
     hashed = docs.select(row_key(docs, id_col, text_col).alias("key"), docs[id_col].alias("doc_id"), words(text_of(docs, text_col)).alias("ws")).select("key", "doc_id", F.size("ws").alias("n"), hashes(F.col("ws")).alias("hs"))
-    wanted = anchors.select("h").distinct()
-    found = hashed.select("key", "doc_id", "n", "hs", F.explode("hs").alias("h")).join(_side(wanted), "h").drop("h")
-    found = written(found.dropDuplicates(["key"]), "decontamination-found")
+    found = written(_with_anchor(hashed, anchors.select("h").distinct()).dropDuplicates(["key"]), "decontamination-found")
     return _verified(found, weights, shingles, anchors).join(names, "item").select("key", "doc_id", "item_id", "start", "similarity")
 
 
+def _with_anchor(hashed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The records with an anchor among their shingles: by a set of up to LISTED anchors, beyond that by a join."""
+    listed = [r["h"] for r in wanted.limit(LISTED + 1).collect()]
+    if len(listed) > LISTED:
+        return hashed.select("*", F.explode("hs").alias("h")).join(_side(wanted), "h").drop("h")
+    in_set = ",".join(f"{h}L" if h > -(1 << 63) else "(-9223372036854775807L - 1L)" for h in sorted(listed))
+    return hashed.filter(F.expr(f"exists(hs, h -> h in ({in_set}))") if listed else F.lit(False))
+
+
 def _side(table: DataFrame) -> DataFrame:
     """A table of the benchmark as one side of a join: broadcast if it has at most FEW rows, else sorted and merged."""
     return F.broadcast(table) if table.count() <= FEW else table.hint("merge")
