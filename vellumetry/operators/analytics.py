@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quality import CLASSES, ordinal
@@ -42,7 +42,8 @@ def worst_class(pages: DataFrame, by: list[str], order: str, cosine: str, lpips:
     """Means, pages, worst class (of equals the first) and share of all pages. Unknown labels count as the best class."""
     worst = F.max_by(F.col(cls), F.struct(ordinal(F.col(cls)).alias("o"), (-F.col(order)).alias("early")))
     out = pages.groupBy(*by).agg(F.round(F.avg(cosine), 4).alias("mean_cosine"), F.round(F.avg(lpips), 4).alias("mean_lpips"), F.count("*").alias("pages"), worst.alias("worst"))
-    return out.withColumn("share", F.round(F.col("pages") / F.sum("pages").over(Window.partitionBy()), 4))
+    total = pages.agg(F.count("*").alias("_all"))  # one row
+    return out.crossJoin(F.broadcast(total)).withColumn("share", F.round(F.col("pages") / F.col("_all"), 4)).drop("_all")
 
 
 def class_summary(pages: DataFrame, cosine: str, lpips: str, cls: str = "class") -> DataFrame:

@@ -8,7 +8,7 @@ the greedy matching by joins.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,7 +59,7 @@ def label_candidates(left: DataFrame, right: DataFrame, left_id: str, right_id:
     return pairs.filter((F.col("sim") >= least) | (F.col("tj") >= SHARED_RATIO) | (F.col("shared") >= SHARED_WORDS)).select(left_id, right_id, "sim", "tj", "shared")
 
 
-def mutual_best(edges: DataFrame, left: str, right: str, score: str, rounds: int = 200) -> DataFrame:
+def mutual_best(edges: DataFrame, left: str, right: str, score: str) -> DataFrame:
     """The greedy one-to-one matching by score (falling), then left, then right.
 
     An edge that is the best of both its ends is in it; such edges are taken, their ends go, and so on. Each
@@ -69,17 +69,12 @@ def mutual_best(edges: DataFrame, left: str, right: str, score: str, rounds: int
     rest = cut(edges.select(left, right, score))
     taken = []
     key = F.struct((-F.col(score)).alias("s"), F.col(left).alias("l"), F.col(right).alias("r"))
-    for _ in range(rounds):
-        if rest.isEmpty():
-            break
+    while not rest.isEmpty():
         best_l = rest.groupBy(left).agg(F.min(key).alias("best")).select(F.col("best.l").alias(left), F.col("best.r").alias(right))
         best_r = rest.groupBy(right).agg(F.min(key).alias("best")).select(F.col("best.l").alias(left), F.col("best.r").alias(right))
         got = cut(rest.join(best_l, [left, right], "left_semi").join(best_r, [left, right], "left_semi"))
         taken.append(got)
         rest = cut(rest.join(got.select(left), left, "left_anti").join(got.select(right), right, "left_anti"))
-    else:
-        if not rest.isEmpty():
-            raise RuntimeError(f"matching did not end in {rounds} rounds")
     out = taken[0] if taken else edges.sparkSession.createDataFrame([], edges.select(left, right, score).schema)
     for more in taken[1:]:
         out = out.unionByName(more)
@@ -104,21 +99,38 @@ def _agree(a: dict, b: dict) -> bool:
     return both >= SHARED_WORDS or (not x and not y) or both >= SHARED_RATIO * (len(x | y) or 1)
 
 
+class _Free:
+    """Rows in order, found by their words. Rows that can match without a common word, as neither has a meaningful one, are kept apart."""
+
+    def __init__(self, rows: list[dict]):
+        self.rows, self.by_word, self.bare = rows, {}, []
+        for k, r in enumerate(rows):
+            for w in r["words"]:
+                self.by_word.setdefault(w, []).append(k)
+            if not any(len(w) >= 3 for w in r["words"]):
+                self.bare.append(k)
+
+    def like(self, a: dict) -> set[int]:
+        """Places of all rows that a may match."""
+        found = {k for w in a["words"] for k in self.by_word.get(w, ())}
+        return found if any(len(w) >= 3 for w in a["words"]) else found.union(self.bare)
+
+
 def _choose(choosers: list[dict], free: list[dict], allowed) -> list[tuple[dict, dict, float]]:
     """One after another, each takes the most similar free row that it may have, the first of equals."""
-    out, free = [], list(free)
+    out, index, gone = [], _Free(free), set()
     for a in choosers:
-        scored = [(_similar(a, b), -k, b) for k, b in enumerate(free)]
-        fits = [(s, k, b) for s, k, b in scored if allowed(a, b, s, max(scored, default=(0,), key=lambda x: x[:2])[0])]
+        fits = [(s, -k) for k in index.like(a) - gone if allowed(a, free[k], s := _similar(a, free[k]))]
         if fits:
-            s, _, b = max(fits, key=lambda x: x[:2])
-            free.remove(b)
-            out.append((a, b, s))
+            s, k = max(fits)
+            gone.add(-k)
+            out.append((a, free[-k], s))
     return out
 
 
 def _greedy(left: list[dict], right: list[dict]) -> list[tuple[dict, dict, float]]:
-    edges = sorted((-s, i, j) for i, a in enumerate(left) for j, b in enumerate(right) if (s := _similar(a, b)) >= LABEL_ONLY or _agree(a, b))
+    index = _Free(right)
+    edges = sorted((-s, i, j) for i, a in enumerate(left) for j in index.like(a) if (s := _similar(a, right[j])) >= LABEL_ONLY or _agree(a, right[j]))
     used_l, used_r, out = set(), set(), []
     for s, i, j in edges:
         if i not in used_l and j not in used_r:
@@ -128,23 +140,44 @@ def _greedy(left: list[dict], right: list[dict]) -> list[tuple[dict, dict, float
     return out
 
 
+def _links(rows: list[dict], exclusive: bool) -> list[tuple]:
+    """(pair_id, stage, gt_ref, res_ref, sim): the leftovers of one pair of documents, assigned."""
+    side = {}
+    for r in rows:
+        r |= {"words": set(r["words"]), "chars": set(r["chars"])}
+        side.setdefault((r["side"], r["code"] is not None), []).append(r)
+    coded = {s: sorted(side.get((s, True), []), key=lambda r: (len(r["code"]), r["code"])) for s in ("gt", "res")}
+    bare = {s: sorted(side.get((s, False), []), key=lambda r: r["ordinal"]) for s in ("gt", "res")}
+    links = [(2, a, b, s) for a, b, s in _choose(coded["gt"], coded["res"], lambda a, b, s: s >= CROSS_CODE)]
+    gone = {id(r) for _, a, b, _ in links for r in (a, b)}
+    mixed = lambda a, b, s: s >= CROSS_CODE or _agree(a, b)
+    links += [(3, a, b, s) for a, b, s in _choose([r for r in coded["gt"] if id(r) not in gone], bare["res"], mixed)]
+    links += [(4, b, a, s) for a, b, s in _choose([r for r in coded["res"] if id(r) not in gone], bare["gt"], mixed)]
+    if exclusive:
+        gone |= {id(r) for _, a, b, _ in links for r in (a, b)}
+    links += [(5, a, b, s) for a, b, s in _greedy(*([r for r in bare[s] if id(r) not in gone] for s in ("gt", "res")))]
+    return [(rows[0]["pair_id"], k, a["ref"], b["ref"], s) for k, a, b, s in links]
+
+
 def _assign(exclusive: bool):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        side = {}
-        for r in rows.to_dict("records"):
-            r |= {"words": set(r["words"]), "chars": set(r["chars"])}
-            side.setdefault((r["side"], r["code"] is not None), []).append(r)
-        coded = {s: sorted(side.get((s, True), []), key=lambda r: (len(r["code"]), r["code"])) for s in ("gt", "res")}
-        bare = {s: sorted(side.get((s, False), []), key=lambda r: r["ordinal"]) for s in ("gt", "res")}
-        links = [(2, a, b, s) for a, b, s in _choose(coded["gt"], coded["res"], lambda a, b, s, best: s >= CROSS_CODE)]
-        gone = {id(r) for _, a, b, _ in links for r in (a, b)}
-        mixed = lambda a, b, s, best: s >= CROSS_CODE or _agree(a, b)
-        links += [(3, a, b, s) for a, b, s in _choose([r for r in coded["gt"] if id(r) not in gone], bare["res"], mixed)]
-        links += [(4, b, a, s) for a, b, s in _choose([r for r in coded["res"] if id(r) not in gone], bare["gt"], mixed)]
-        if exclusive:
-            gone |= {id(r) for _, a, b, _ in links for r in (a, b)}
-        links += [(5, a, b, s) for a, b, s in _greedy(*([r for r in bare[s] if id(r) not in gone] for s in ("gt", "res")))]
-        return pd.DataFrame([(rows["pair_id"].iloc[0], k, a["ref"], b["ref"], s) for k, a, b, s in links], columns=["pair_id", "stage", "gt_ref", "res_ref", "sim"])
+    """Many pairs a call: rows come sorted by pair, and one pair's are held at a time."""
+
+    def run(batches):
+        def batch(found):
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64())
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], k) for i, k in enumerate(kinds)], names=["pair_id", "stage", "gt_ref", "res_ref", "sim"])
+
+        rows = []
+        for b in batches:
+            found = []
+            for r in b.to_pylist():
+                if rows and r["pair_id"] != rows[0]["pair_id"]:
+                    found += _links(rows, exclusive)
+                    rows = []
+                rows.append(r)
+            yield batch(found)
+        if rows:
+            yield batch(_links(rows, exclusive))
 
     return run
 
@@ -164,7 +197,8 @@ def compared(coded: DataFrame, bare: DataFrame, sections: str = "cyrillic", unic
     same = side["gt"].filter("code is not null").alias("g").join(side["res"].filter("code is not null").alias("r"), ["pair_id", "code"])
     first = same.select("pair_id", F.lit(1).alias("stage"), F.col("g.ref").alias("gt_ref"), F.col("r.ref").alias("res_ref"), label_similarity(F.col("g.words"), F.col("g.chars"), F.col("r.words"), F.col("r.chars")).alias("sim"))
     left = every.join(first.select("pair_id", F.col("gt_ref").alias("ref")), ["pair_id", "ref"], "left_anti")
-    more = left.select("pair_id", "side", "code", "ordinal", "ref", "words", "chars").groupBy("pair_id").applyInPandas(_assign(exclusive_bare), LINKS)
+    left = left.select("pair_id", "side", "code", "ordinal", "ref", "words", "chars").withColumn("sides", F.size(F.collect_set("side").over(Window.partitionBy("pair_id")))).filter("sides = 2")
+    more = left.drop("sides").sortWithinPartitions("pair_id").mapInArrow(_assign(exclusive_bare), LINKS)
     links = cut(first.unionByName(more))
     row = lambda s, p: side[s].select("pair_id", F.col("ref").alias(f"{s}_ref"), *[F.col(c).alias(f"{p}_{c}") for c in ("code", "label", "start", "end")])
     paired = links.join(row("gt", "g"), ["pair_id", "gt_ref"]).join(row("res", "r"), ["pair_id", "res_ref"])
@@ -250,7 +284,9 @@ def paired_files(gt: DataFrame, res: DataFrame) -> DataFrame:
     a, b = named(gt, "gt"), named(res, "res")
     exact = a.join(b, "key").select("gt_path", "res_path", F.lit("exact-stem").alias("pair_reason"))
     left, right = a.join(b.select("key"), "key", "left_anti"), b.join(a.select("key"), "key", "left_anti")
-    pairs = left.withColumnRenamed("key", "a").join(right.withColumnRenamed("key", "b"), F.lit(True))
+    # without a common word the score is at most 0.6: only such pairs are compared, and those without any word
+    blocked = lambda d, p, key: d.select(F.col("key").alias(key), f"{p}_path", f"{p}_words", F.explode(F.when(F.size(f"{p}_words") > 0, F.col(f"{p}_words")).otherwise(F.array(F.lit("")))).alias("word"))
+    pairs = blocked(left, "gt", "a").join(blocked(right, "res", "b"), "word").dropDuplicates(["gt_path", "res_path"])
     words = token_jaccard(F.col("gt_words"), F.col("res_words"))
     pairs = pairs.withColumn("tj", words).withColumn("score", 0.6 * sequence_ratio("a", "b") + 0.4 * F.col("tj"))
     good = pairs.filter((F.col("score") >= FILE_SCORE) | (F.col("tj") >= FILE_WORDS))

@@ -26,17 +26,18 @@ def document_pairs(expected: DataFrame, actual: DataFrame, name: str = "name", t
 def positional_pages(expected: DataFrame, actual: DataFrame, doc: str, page: str, value: str) -> DataFrame:
     """The i-th page of one side beside the i-th of the other: doc, page, expected, actual.
 
-    A document whose sides have different page counts gives one row with null page and values instead.
+    A document whose sides have different page counts, one of them perhaps none, gives one row with null page and
+    values instead.
     """
+
     def placed(d: DataFrame, name: str) -> DataFrame:
-        w = Window.partitionBy(doc)
-        return d.select(doc, F.row_number().over(w.orderBy(page, value)).alias("page"), F.count("*").over(w).alias(f"n_{name}"), F.col(value).alias(name))
-
-    both = placed(expected, "expected").join(placed(actual, "actual"), [doc, "page"], "inner")
-    even = both.filter("n_expected = n_actual").select(doc, F.col("page").cast("int").alias("page"), "expected", "actual", F.lit(False).alias("mismatch"))
-    odd = both.filter("n_expected <> n_actual").select(doc).distinct()
-    kinds = dict(even.dtypes)
-    return even.unionByName(odd.select(doc, F.lit(None).cast("int").alias("page"), F.lit(None).cast(kinds["expected"]).alias("expected"), F.lit(None).cast(kinds["actual"]).alias("actual"), F.lit(True).alias("mismatch")))
+        return d.select(doc, F.row_number().over(Window.partitionBy(doc).orderBy(page, value)).alias("page"), F.lit(True).alias(f"in_{name}"), F.col(value).alias(name))
+
+    both = placed(expected, "expected").join(placed(actual, "actual"), [doc, "page"], "full")
+    uneven = F.max(F.col("in_expected").isNull() | F.col("in_actual").isNull()).over(Window.partitionBy(doc))
+    both = both.withColumn("mismatch", uneven).filter(~F.col("mismatch") | (F.col("page") == 1))
+    even = lambda c: F.when(~F.col("mismatch"), F.col(c))
+    return both.select(doc, even("page").cast("int").alias("page"), even("expected").alias("expected"), even("actual").alias("actual"), "mismatch")
 
 
 def levelled(pages: DataFrame, cosine: str = "cosine", lpips: str = "lpips", mismatch: Column | None = None) -> DataFrame:

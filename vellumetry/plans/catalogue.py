@@ -18,8 +18,9 @@ from ..operators import grids as G
 from ..operators import matching as M
 from ..operators import pages as P
 from ..operators import tables as B
-from ..sources import files, reports
+from ..sources import files, reports, sinks
 from .comparison import compare_documents
+from .lineage import shared_path
 
 MODELS = ["click", "error", "purchase", "signup", "view"]
 
@@ -52,19 +53,23 @@ def html_summary_scan(spark, d):
     return n.select("model", F.explode(reports.summary_block(text)).alias("key", "value")).select("model", "key", F.col("value").cast("long").alias("value"))
 
 
+#: Reports of a model: documents are dealt to so many, so that none holds a whole model.
+REPORTS = 64
+
+
 def printed_report(pages: DataFrame) -> DataFrame:
-    """model, text: reports with their body twice, as they come."""
+    """model, slice, text: reports with their body twice, as they come."""
     cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
     row = F.concat(F.lit("<tr>"), cell(F.col("page_ordinal").cast("string")), cell(F.format_string("%.4f", "cosine")), cell(F.format_string("%.4f", "lpips")), cell(F.concat("class", F.lit(" 🟡"))), F.lit("</tr>"))
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_ordinal", row.alias("r")))), lambda x: x["r"]), "\n")
     docs = pages.groupBy("model", "doc_id").agg(rows.alias("rows"))
     body = lambda b, e: F.concat(F.lit(f"<h2>Document: {b}"), F.col("doc_id").cast("string"), F.lit(f"{e}</h2><table><tr><th>Page</th></tr>"), "rows", F.lit("</table>"))
-    whole = docs.groupBy("model").agg(F.array_join(F.sort_array(F.collect_list(body("", ""))), "").alias("one"), F.array_join(F.sort_array(F.collect_list(body("<b>", "</b>"))), "").alias("two"))
-    return whole.select("model", F.concat(F.lit("<html><body>"), "one", F.lit("</body></html>"), "two", F.lit("</body></html>")).alias("text"))
+    whole = docs.groupBy("model", F.pmod(F.xxhash64("doc_id"), F.lit(REPORTS)).cast("int").alias("slice")).agg(F.array_join(F.sort_array(F.collect_list(body("", ""))), "").alias("one"), F.array_join(F.sort_array(F.collect_list(body("<b>", "</b>"))), "").alias("two"))
+    return whole.select("model", "slice", F.concat(F.lit("<html><body>"), "one", F.lit("</body></html>"), "two", F.lit("</body></html>")).alias("text"))
 
 
 def html_report_pages(spark, d):
-    found = reports.report_pages(printed_report(scored_pages(spark, d)), ["model"]).filter("copy_no = 1")
+    found = reports.report_pages(printed_report(scored_pages(spark, d)), ["model", "slice"]).filter("copy_no = 1")
     return found.select("model", F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("long").alias("page"), F.col("page_ordinal").cast("long").alias("place"), F.round("cosine", 4).alias("cosine"), F.round("lpips", 4).alias("lpips"), "issue", reports.page_key(F.col("doc_id"), F.col("page_ordinal")).alias("page_key"))
 
 
@@ -82,6 +87,34 @@ def normalize_documents(spark, d):
     return table(spark, d, "documents").select("doc_id", T.normalize(F.col("text"), unicode=False).alias("norm"))
 
 
+def normalize_documents_unicode(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.normalize(F.col("text")).alias("norm"))
+
+
+def page_files_read_back(spark, d):
+    """Every turn of the conversations written as a page file, found by a scan and decoded."""
+    turns = table(spark, d, "conversations").select(F.concat(F.lit("conversation-"), F.col("conv_id").cast("string")).alias("doc_id"), F.col("turn").alias("page"), "text")
+    folder = shared_path(spark, "pages")
+    sinks.page_files(turns, folder)
+    found = files.text_files(spark, folder, "*.yaml", recursive=True)
+    return found.select(F.regexp_extract("path", "[^/]*/[^/]*$", 0).alias("file"), "text")
+
+
+def csv_reads_back(spark, d):
+    folder = shared_path(spark, "csv")
+    nations = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    sinks.write_csv(nations, folder)
+    return spark.read.option("header", True).schema(nations.schema).csv(folder)
+
+
+def layout_json_read_back(spark, d):
+    p = table(spark, d, "part")
+    blocks = F.array(F.struct(F.lit("Text").alias("type"), F.array(F.lit(0), F.col("p_size")).alias("bbox"), F.col("p_name").alias("text")))
+    json = p.select("p_partkey", sinks.layout_json(F.col("p_size").cast("long"), F.concat(F.lit("images/"), "p_brand", F.lit(".png")), F.col("p_name"), blocks).alias("j"))
+    read = F.from_json("j", "page_index long, image_path string, text string, blocks array<struct<type: string, bbox: array<int>, text: string>>").alias("r")
+    return json.select("p_partkey", read).select("p_partkey", "r.page_index", "r.image_path", "r.text", F.size("r.blocks").cast("long").alias("n_blocks"))
+
+
 def meaningful_tokens(spark, d):
     docs = table(spark, d, "documents").withColumn("words", T.tokens(T.normalize(F.col("text"), unicode=False)))  # made once a row
     return docs.select("doc_id", F.size(T.meaningful(F.col("words"))).cast("long").alias("n_meaningful"), F.size("words").cast("long").alias("n_tokens"))
@@ -336,7 +369,7 @@ def file_pairing(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        strip_html_pages, html_link_extract, html_summary_scan, html_report_pages, html_flat_classes, key_value_scan, normalize_documents, meaningful_tokens, char_set_size, label_similarity_candidates,
+        strip_html_pages, html_link_extract, html_summary_scan, html_report_pages, html_flat_classes, key_value_scan, normalize_documents, normalize_documents_unicode, page_files_read_back, csv_reads_back, layout_json_read_back, meaningful_tokens, char_set_size, label_similarity_candidates,
         best_match_per_document, greedy_label_match, parse_number_cells, line_islands, pipe_table_rows, reconcile_order_totals, reconcile_one_sided, code_dedupe_richest, issue_level_summary, page_positional_join,
         doc_pair_topk, page_selection, cosine_pairs, class_share_by_doc, class_counts_by_model, class_share_total, mean_score_pivot, first_issue_pivot, dominant_class, worst_class_summary, class_summary,
         boxplot_stats, histogram_20, kde_grid, union_dedupe_reports, md_assemble_conversation, cell_grid_markdown, scaled_boxes, page_numbers, pair_tags, perf_summary, compare_versions, index_row, same_code_rows, file_pairing,

@@ -43,6 +43,86 @@ SIM = f"(case when {REL} is not null then 1 - least(1.0, {REL}) end)"
 ROUND = "cast(round(cast(cast({0} as varchar) as decimal(30, 17)), 4) as double)"
 
 
+def greedy(name: str, edges: str) -> str:
+    """The matching by score, then left, then right, of edges (grp, l, r, lo, ro, s): round by round, edges that are first for both their ends."""
+    return f"""{name}_e as ({edges}),
+{name}_g as (
+  select *, false as taken from {name}_e
+  union all
+  select grp, l, r, lo, ro, s, hit from (
+    select *, bool_or(hit) over (partition by grp, l) as l_gone, bool_or(hit) over (partition by grp, r) as r_gone from (
+      select *, row_number() over (partition by grp, l order by s desc, lo, ro) = 1 and row_number() over (partition by grp, r order by s desc, lo, ro) = 1 as hit
+      from {name}_g where not taken))
+  where hit or not (l_gone or r_gone)),
+{name} as (select grp, l, r, s from {name}_g where taken)"""
+
+
+def choose(name: str, choosers: str, edges: str) -> str:
+    """choosers (grp, l, lo) in order take the best edge (grp, l, r, ro, s) to one that is still free, the first of equals."""
+    best = "arg_max(e.r, (e.s, -e.ro))"
+    return f"""{name}_c as (select grp, l, row_number() over (partition by grp order by lo) as k from ({choosers})),
+{name}_e as ({edges}),
+{name}_t as (
+  select grp, cast(0 as bigint) as k, cast([] as varchar[]) as used, cast(null as varchar) as l, cast(null as varchar) as r, cast(null as double) as s from (select distinct grp from {name}_c)
+  union all
+  select t.grp, c.k, case when max(e.s) is null then t.used else list_append(t.used, {best}) end, c.l, {best}, max(e.s)
+  from {name}_t t join {name}_c c on c.grp = t.grp and c.k = t.k + 1 left join {name}_e e on e.grp = t.grp and e.l = c.l and not list_contains(t.used, e.r)
+  group by t.grp, c.k, t.used, c.l),
+{name} as (select grp, l, r, s from {name}_t where r is not null)"""
+
+
+#: The rows of both versions as they are read: coded ones, the richest of each code, and those without code.
+VERSIONS = """
+p as (select p_brand || '/' || (p_partkey % 400) as pair_id, p_partkey as k, p_name, cast(round(p_retailprice) as bigint) as price from part),
+g as (select pair_id, k, p_name as label, case when k % 5 <> 0 then cast(1000 + k % 9000 as varchar) else cast(price as varchar) end as code, case when k % 5 <> 0 then price end as start from p),
+r as (select pair_id, k, case when k % 4 = 0 then p_name || ' total' when k % 9 = 0 then '' else upper(p_name) end as label,
+             case when k % 5 = 0 then case when k % 6 <> 0 then cast(price as varchar) end when k % 7 = 0 then cast(1001 + k % 8999 as varchar) else cast(1000 + k % 9000 as varchar) end as code,
+             case when k % 6 = 0 then -(price * 10 + 5) when k % 5 <> 0 then price end as start from p),
+gd as (select *, row_number() over (partition by pair_id, code order by (start is not null)::int desc, k) as n from g),
+rd as (select *, row_number() over (partition by pair_id, code order by (start is not null)::int desc, k) as n from r where code is not null)"""
+
+
+def _compared() -> str:
+    coded = lambda n, side: f"select pair_id, '{side}' as side, code, 'c' || code as ref, label, start, row_number() over (partition by pair_id order by length(code), code) as o from {n} where n = 1"
+    head = lambda side: f"select distinct pair_id, '{side}', cast(null as varchar), 'n0', 'Name', cast(null as bigint), cast(0 as bigint) from p"
+    union = lambda x, y: f"len(list_distinct(list_concat({x}, {y})))"
+    left = lambda side, kind, *gone: f"select pair_id as grp, ref as l, o as lo from ev where side = '{side}' and code is {kind}" + "".join(f" and (pair_id, ref) not in (select grp, {c} from {t})" for t, c in gone)
+    edge = lambda l, r, rule: f"select grp, {l} as l, {r} as r, {r[0]}o as ro, sim as s from ed where {rule}"
+    like, near = "(sim >= 0.8 or agree)", "(sim >= 0.6 or agree)"
+    free = lambda c, *gone: "".join(f" and (grp, {c}) not in (select grp, {k} from {t})" for t, k in gone)
+    return f"""with recursive {VERSIONS},
+ev0 as ({coded('gd', 'gt')} union all {coded('rd', 'res')} union all {head('gt')} union all {head('res')}
+  union all select pair_id, 'res', null, 'n' || row_number() over (partition by pair_id order by k), label, start, row_number() over (partition by pair_id order by k) from r where code is null and {norm('label')} <> ''),
+ev as (select *, list_distinct(list_filter(string_split(n, ' '), lambda t: t <> '')) as w, list_distinct(list_filter(string_split(n, ''), lambda t: t <> '')) as c from (select *, {norm('label')} as n from ev0)),
+em as (select *, list_filter(w, lambda t: length(t) >= 3) as m from ev),
+ed as (
+  select a.pair_id as grp, a.ref as a, b.ref as b, a.o as ao, b.o as bo, a.code as ac, b.code as bc,
+         case when len(a.c) = 0 and len(b.c) = 0 then 1.0 when len(a.c) = 0 or len(b.c) = 0 then 0.0
+              else round(0.5 * (len(list_intersect(a.w, b.w)) / {union('a.w', 'b.w')}) + 0.5 * (len(list_intersect(a.c, b.c)) / {union('a.c', 'b.c')}), 4) end::double as sim,
+         len(list_intersect(a.m, b.m)) >= 2 or len(a.m) + len(b.m) = 0 or len(list_intersect(a.m, b.m)) >= 0.5 * {union('a.m', 'b.m')} as agree
+  from em a join em b on a.pair_id = b.pair_id and a.side = 'gt' and b.side = 'res'),
+s1 as (select grp, a as l, b as r, sim as s from ed where ac = bc),
+{choose('s2', left('gt', 'not null', ('s1', 'l')), edge('a', 'b', "ac is not null and bc is not null and sim >= 0.8" + free('b', ('s1', 'r'))))},
+{choose('s3', left('gt', 'not null', ('s1', 'l'), ('s2', 'l')), edge('a', 'b', f"ac is not null and bc is null and {like}"))},
+{choose('s4', left('res', 'not null', ('s1', 'r'), ('s2', 'r')), edge('b', 'a', f"ac is null and bc is not null and {like}"))},
+{greedy('s5', f"select grp, a as l, b as r, ao as lo, bo as ro, sim as s from ed where ac is null and bc is null and {near}")},
+li as (select 1 as stage, grp, l as a, r as b, s from s1 union all select 2, grp, l, r, s from s2 union all select 3, grp, l, r, s from s3
+       union all select 4, grp, r, l, s from s4 union all select 5, grp, l, r, s from s5),
+ma as (
+  select stage, grp as pair_id, s, x.ref as a, y.ref as b, x.label as gl, y.label as rl, x.code as gc, y.code as rc, x.start as gs, y.start as rs
+  from li join ev x on x.pair_id = grp and x.side = 'gt' and x.ref = li.a join ev y on y.pair_id = grp and y.side = 'res' and y.ref = li.b
+  union all select 6, pair_id, null, ref, null, label, null, code, null, start, null from ev where side = 'gt' and (pair_id, ref) not in (select grp, a from li)
+  union all select 6, pair_id, null, null, ref, null, label, null, code, null, start from ev where side = 'res' and (pair_id, ref) not in (select grp, b from li)),
+nu as (
+  select *, case when stage = 6 then null when stage = 1 and gs is null and rs is null then 1.0 when gs is not null and rs is not null then round((1 + {SIM.format('gs', 'rs')}) / 2, 4)
+                 when gs is not null or rs is not null then 0.0 when gc is null and rc is null then 1.0 when gc is not null and rc is not null then null else 0.0 end::double as num from ma),
+cv as (
+  select pair_id, cast(stage as bigint) as stage, coalesce(gl, '') as gt_label, coalesce(rl, '') as res_label, case when a is null then '' else concat_ws(' ', gc, gs) end as gt_numbers,
+         case when b is null then '' else concat_ws(' ', rc, rs) end as res_numbers, s as label_sim, num as num_sim,
+         case when stage < 6 then {ROUND.format('case when num is null then s else (s + num) / 2 end')} end as overall_sim,
+         case when stage < 6 then round(100 * {REL.format('gs', 'rs')}, 4) end as "start_rel_diff_%", case when stage < 6 then 0.0::double end as "end_rel_diff_%" from nu)"""
+
+
 def pivot(expr: str) -> str:
     return ", ".join(expr.format(m) for m in ("click", "error", "purchase", "signup", "view"))
 
@@ -57,6 +137,10 @@ ORACLES = {
     "key_value_scan": """select c_custkey, 1::bigint as line_no, 'Name' as key, c_name as value from customer union all select c_custkey, 3, 'Segment', c_mktsegment from customer
         union all select c_custkey, 5, 'URL', 'http://x:' || c_nationkey from customer""",
     "normalize_documents": f"select doc_id, {norm('text')} as norm from documents",
+    "normalize_documents_unicode": f"select doc_id, {norm("replace(text, 'ß', 'ss')")} as norm from documents",
+    "page_files_read_back": "select printf('conversation-%d/page_%04d.yaml', conv_id, turn) as file, text from conversations",
+    "csv_reads_back": "select n_nationkey, n_name, n_regionkey from nation",
+    "layout_json_read_back": "select p_partkey, p_size::bigint as page_index, 'images/' || p_brand || '.png' as image_path, p_name as text, 1::bigint as n_blocks from part",
     "meaningful_tokens": f"with {SETS} select doc_id, len(m) as n_meaningful, len(w) as n_tokens from dm",
     "char_set_size": f"with {SETS} select doc_id, len(c) as n_chars_distinct from dm",
     "label_similarity_candidates": f"with {SETS} select doc_id, item_id, sim, round(tj, 4) as tj, shared from ok",
@@ -93,8 +177,10 @@ ORACLES = {
                count(*) filter (k = 'D') as moderate, count(*) filter (k = 'S') as severe, count(distinct vec_id) filter (k = 'X') as mismatch_docs from s group by label""",
     "page_positional_join": """with s as (select conv_id, role, text, row_number() over (partition by conv_id, role order by turn, text) as page, count(*) over (partition by conv_id, role) as n
           from conversations where role in ('user', 'assistant')),
-        b as (select u.conv_id, u.page, u.n as un, a.n as an, length(u.text) as n_expected, length(a.text) as n_actual from s u join s a on u.conv_id = a.conv_id and u.page = a.page and u.role = 'user' and a.role = 'assistant')
-        select conv_id, cast(page as integer) as page, n_expected, n_actual, false as mismatch from b where un = an union all select distinct conv_id, null, null, null, true from b where un <> an""",
+        c as (select conv_id, count(*) filter (role = 'user') as un, count(*) filter (role = 'assistant') as an from conversations where role in ('user', 'assistant') group by conv_id)
+        select u.conv_id, cast(u.page as integer) as page, length(u.text) as n_expected, length(a.text) as n_actual, false as mismatch
+        from s u join s a on u.conv_id = a.conv_id and u.page = a.page and u.role = 'user' and a.role = 'assistant' join c on c.conv_id = u.conv_id where un = an
+        union all select conv_id, null, null, null, true from c where un <> an""",
     "doc_pair_topk": "select printf('doc_%06d', doc_id) as base, printf('doc_%06d.pdf', doc_id) as expected, printf('doc_%06d.docx', doc_id) as actual from documents join labels using (doc_id) order by 2 limit 115",
     "page_selection": """select p_partkey, array_to_string(case when p_partkey % 5 = 0 then range(1, 21)
         else list_sort(list_filter(list_distinct(list_concat(range(p_size, p_size + 4), [p_partkey % 7])), lambda x: x between 1 and 20)) end, ' ') as pages from part""",
@@ -142,4 +228,9 @@ ORACLES = {
         select gd.pair_id, gd.code, gd.label as gt_label, rd.label as res_label, gd.start as gt_start, rd.start as res_start,
                case when gd.start is null or rd.start is null then 1.0 else round((2 - least(1.0, abs(gd.start - rd.start)::double / greatest(abs(gd.start), abs(rd.start)))) / 2, 4) end as num_sim
         from gd join rd using (pair_id, code) where gd.n = 1 and rd.n = 1""",
+    "greedy_label_match": f"with recursive {SETS}, {greedy('m', 'select 0 as grp, doc_id as l, item_id as r, doc_id as lo, item_id as ro, cast(sim as double) as s from ok')} select l as doc_id, r as item_id, s as sim from m",
+    "compare_versions": f"{_compared()} select * from cv",
+    "index_row": f"""{_compared()} select pair_id, {', '.join(f"{ROUND.format(f'avg({c})')} as {n}" for c, n in (('overall_sim', 'avg_over'), ('label_sim', 'avg_label'), ('num_sim', 'avg_num')))}, count(*) as rows_total,
+        count(*) filter (gt_label <> '' and res_label <> '') as paired_rows, count(*) filter (gt_label <> '' and res_label = '') as gt_only_rows, count(*) filter (gt_label = '' and res_label <> '') as res_only_rows
+        from cv group by pair_id""",
 }
