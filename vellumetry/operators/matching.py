@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
-from ..functions.similarity import label_similarity, token_jaccard
+from ..functions.similarity import label_similarity, share, shares_similarity, token_jaccard
 from ..functions.text import characters, meaningful, normalize, tokens
 from ..functions.unicode import nfkc_casefold, sequence_ratio, without_marks
 from ..plans.lineage import cut
@@ -47,16 +47,18 @@ def label_candidates(left: DataFrame, right: DataFrame, left_id: str, right_id:
     left, right = sized(left, left_id), sized(right, right_id)
     a, b = words(left, left_id, "a"), words(right, right_id, "b")
     both = a.join(b, "word").groupBy(left_id, right_id, "a_n", "b_n", "a_m", "b_m").agg(F.count("*").alias("all"), F.count_if(F.length("word") >= 3).alias("shared"))
-    bare_a, bare_b = left.filter("m = 0").select(left_id), right.filter("m = 0").select(right_id)
-    bare = bare_a.join(bare_b, F.lit(True)).withColumn("tj", F.lit(1.0)).withColumn("shared", F.lit(0).cast("long"))
+    n_words = lambda d, key, side: d.filter("m = 0").select(key, F.col("words").alias(f"{side}_words"))
+    bare = n_words(left, left_id, "a").join(n_words(right, right_id, "b"), F.lit(True)).withColumns({"tj": F.lit(1.0), "shared": F.lit(0).cast("long"), "ratio": share(F.col("a_words"), F.col("b_words"))})
     tj = F.when(F.col("a_m") + F.col("b_m") > 0, F.col("shared") / (F.col("a_m") + F.col("b_m") - F.col("shared"))).otherwise(1.0)
     ratio = F.col("all") / (F.col("a_n") + F.col("b_n") - F.col("all"))
-    likely = both.withColumn("tj", tj).filter((F.col("a_m") + F.col("b_m") > 0) & ((0.5 * ratio + 0.5 >= least - 1e-4) | (F.col("tj") >= SHARED_RATIO) | (F.col("shared") >= SHARED_WORDS)))
-    pairs = likely.select(left_id, right_id, "tj", "shared").unionByName(bare)
-    sets = lambda d, key, side: d.select(key, F.col("words").alias(f"{side}_words"), F.col("chars").alias(f"{side}_chars"))
-    pairs = pairs.join(sets(left, left_id, "a"), left_id).join(sets(right, right_id, "b"), right_id)
-    pairs = pairs.withColumn("sim", label_similarity(F.col("a_words"), F.col("a_chars"), F.col("b_words"), F.col("b_chars")))
-    return pairs.filter((F.col("sim") >= least) | (F.col("tj") >= SHARED_RATIO) | (F.col("shared") >= SHARED_WORDS)).select(left_id, right_id, "sim", "tj", "shared")
+    agree = (F.col("tj") >= SHARED_RATIO) | (F.col("shared") >= SHARED_WORDS)
+    likely = both.withColumns({"tj": tj, "ratio": ratio}).filter((F.col("a_m") + F.col("b_m") > 0) & ((0.5 * F.col("ratio") + 0.5 >= least - 1e-4) | agree))
+    pairs = likely.select(left_id, right_id, "tj", "shared", "ratio").unionByName(bare.drop("a_words", "b_words"))
+    # of words, the share is known from the counts; only characters are fetched
+    chars = lambda d, key, side: d.select(key, F.col("chars").alias(f"{side}_chars"))
+    pairs = pairs.join(chars(left, left_id, "a"), left_id).join(chars(right, right_id, "b"), right_id)
+    pairs = pairs.withColumn("sim", shares_similarity(F.col("ratio"), F.col("a_chars"), F.col("b_chars")))
+    return pairs.filter((F.col("sim") >= least) | agree).select(left_id, right_id, "sim", "tj", "shared")
 
 
 def mutual_best(edges: DataFrame, left: str, right: str, score: str) -> DataFrame:
