@@ -28,7 +28,9 @@ from .common import done_with, few_rows, new_path, text_of, worker_state, writte
 
 #: Ids in a window of the rolling hash; ids in a chunk: at least, on average about, at most.
 WINDOW, LEAST, MEAN, MOST = 8, 64, 256, 2048
-KEPT, LONGEST = 450_000, 256
+KEPT, LONGEST = 520_000, 256
+#: Bytes of texts encoded at a time.
+SLICE = 8 << 20
 #: What special strings begin with, and marks that compose with ASCII letters; a letter and a mark after it.
 WHOLE, TAIL = "<\\||[\\x{0300}-\\x{036f}]", r"([a-z])([!-&(-/:-@\[-`{-~])"
 
@@ -154,12 +156,12 @@ class Encoder:
         parts = pc.split_pattern(pc.replace_substring(parted, "\n", " "), " ")
         coded = parts.flatten().dictionary_encode()
         ids = self.alone(coded.dictionary.to_pylist())
-        size = np.array([len(x) for x in ids], np.int64) // self.width.itemsize
-        every, start = np.frombuffer(b"".join(ids), self.width), np.cumsum(size) - size
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // self.width.itemsize
+        every, start = np.frombuffer(b"".join(ids), self.width), np.cumsum(size, dtype=np.int32) - size
         which = coded.indices.to_numpy(zero_copy_only=False)
         each = size[which]
-        before = np.cumsum(each) - each
-        flat = every[np.repeat(start[which] - before, each) + np.arange(int(each.sum()))]
+        before = np.cumsum(each, dtype=np.int32) - each
+        flat = every[np.repeat(start[which] - before, each) + np.arange(int(each.sum()), dtype=np.int32)]
         ends = np.append(before, len(flat))[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
         out = [flat[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
         for k in np.flatnonzero(whole):
@@ -172,7 +174,7 @@ def _encoded(file: str, end_id: int):
         enc = worker_state(f"encoder-{file}", lambda: Encoder(file))
         end = np.array([end_id], enc.width).tobytes()
         w = enc.width.itemsize
-        for b in few_rows(batches, 5000, 16 << 20):
+        for b in few_rows(batches, 5000, SLICE):
             n, roots, digests, lengths, chunks = [], [], [], [], []
             for ids in enc.encode(b.column("text")):
                 data = ids.tobytes() + end
@@ -193,16 +195,15 @@ def _encoded(file: str, end_id: int):
 
 def _manifest(batches):
     """A row for each part of recipes; parts are whole and sorted within a task."""
-    part, tree, row = None, MerkleStream(), None
-    rows = []
+    part, tree, row, rows = None, MerkleStream(), None, []
     for b in batches:
-        for r in b.to_pylist():
-            if r["part"] != part:
+        for p, i, n, root in zip(*(b.column(c).to_pylist() for c in ("part", "doc_id", "n_tokens", "root")), strict=True):
+            if p != part:
                 if row:
                     rows.append((*row, tree.root()))
-                part, tree, row = r["part"], MerkleStream(), [r["part"], r["doc_id"], r["doc_id"], 0, 0]
-            tree.add(r["root"])
-            row[2], row[3], row[4] = r["doc_id"], row[3] + 1, row[4] + r["n_tokens"]
+                part, tree, row = p, MerkleStream(), [p, i, i, 0, 0]
+            tree.add(root)
+            row[2], row[3], row[4] = i, row[3] + 1, row[4] + n
     if row:
         rows.append((*row, tree.root()))
     names = ["part", "first_id", "last_id", "docs", "tokens", "root"]
@@ -247,7 +248,8 @@ def _parts(spark: SparkSession, path: str) -> DataFrame:
 def check_manifest(spark: SparkSession, path: str) -> None:
     """Raises where a part's documents, tokens or root are not those that its recipes make."""
     told, made = spark.read.parquet(f"{path}/manifest"), _parts(spark, path)
-    wrong = [r["part"] for r in told.exceptAll(made).unionByName(made.exceptAll(told)).select("part").distinct().limit(5).collect()]
+    both = told.unionByName(made).groupBy(*told.columns).agg(F.count("*").alias("n"))
+    wrong = [r["part"] for r in both.filter("n <> 2").select("part").distinct().limit(5).collect()]
     if wrong:
         raise ValueError(f"the store in {path} is damaged: the recipes of parts {sorted(wrong)} are not those of its manifest")
 
