@@ -26,7 +26,7 @@ from .common import few_rows, text_of, worker_state
 
 LIMIT = 4096
 #: Units that a worker keeps; the longest unit kept; characters of a text split at a time.
-KEPT, LONGEST, SLAB = 1_200_000, 256, 1 << 20
+KEPT, LONGEST, SLAB = 2_200_000, 256, 1 << 20
 SPACE, APART = "▁", "\n"
 #: A word and the marks after it.
 TAIL = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
